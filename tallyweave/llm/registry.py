@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import quality_rules
+from . import chat_format, language_id, pii, quality_rules
 
-MODULES = (quality_rules,)
+MODULES = (language_id, chat_format, pii, quality_rules)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
