@@ -3,11 +3,10 @@
 A document is a bag of sentences. A sentence's chance of being toxic is a logistic function of its
 hashed words and word beginnings; the document's is the noisy-or of its sentences. Weights are
 trained from document labels alone, with a sparsity penalty, and then locate the offending
-sentences in any text. Held out labelled rows fix the decision scale.
+sentences in any text. Scores out of fold fix the decision scale.
 
-The document frequencies that choose the features are counted over all labelled learning rows; the
-weights are fitted on at most ``fit_rows`` of them. What is broadcast is one weight for each kept
-feature, at most ``max_features``.
+Features and weights are learned on about ``fit_rows`` labelled rows, drawn by a hash of the id. What
+is broadcast is their ids, then one weight for each kept feature, at most ``max_features``.
 
 Defined cases: null and empty texts have no sentence and get the score of an empty bag; without
 any toxic label every score is that of an empty bag; repeated rows are scored each on its own; an
@@ -37,7 +36,7 @@ FLOOR = 0.01
 @dataclass(frozen=True)
 class ToxicSpec:
     bits: int = 22
-    fit_rows: int = 8000
+    fit_rows: int = 12000
     max_features: int = 1 << 17
     #: Distinct features of a fitting row that are sent to the driver, by how telling they are.
     row_features: int = 512
@@ -137,13 +136,17 @@ def feature_counts(docs: DataFrame, bits: int) -> DataFrame:
 def train(docs: DataFrame, labels: DataFrame, spec: ToxicSpec = ToxicSpec(), label: str = "toxic") -> ToxicModel:
     """``docs``: doc_id and text; ``labels``: doc_id and label of the rows to learn from."""
     known = labels.where(F.col("doc_id").isNotNull() & F.col(label).isin(0, 1)).groupBy("doc_id").agg(F.max(label).alias("y"))
-    totals = {r["y"]: r["n"] for r in known.groupBy("y").agg(F.count("*").alias("n")).collect()}
+    there, size = known.count(), 1 << 30
+    h = F.pmod(F.xxhash64(F.col("doc_id"), F.lit(5)), F.lit(size))
+    picked = known.select("doc_id", "y", h.alias("h")).where(F.col("h") < int(min(1.0, spec.fit_rows / max(there, 1)) * size))
+    # about fit_rows ids at any size of the table, so they can be broadcast and no text is shuffled
+    rows = cut(docs.join(F.broadcast(picked), "doc_id").select("h", "y", "text"))
+    totals = {r["y"]: r["n"] for r in rows.groupBy("y").agg(F.count("*").alias("n")).collect()}
     n_pos, n_all = totals.get(1, 0), sum(totals.values())
     prior = (n_pos + 0.5) / (n_all + 1)
     blank = ToxicModel({}, spec.bias, 0.0, float(np.log(prior / (1 - prior))), spec.bits)
     if not n_pos or n_pos == n_all:
         return blank
-    rows = docs.join(known, "doc_id").select("doc_id", "y", "text")
     counts = cut(feature_counts(rows, spec.bits))
     many = counts.count()
     # twice the log-likelihood ratio of "more often in toxic rows" must stand out of all the features
@@ -161,9 +164,7 @@ def train(docs: DataFrame, labels: DataFrame, spec: ToxicSpec = ToxicSpec(), lab
     rank = np.full(1 << spec.bits, -1, np.int32)
     rank[index] = np.arange(len(index))
     held = docs.sparkSession.sparkContext.broadcast(rank)
-    size, bits, most = 1 << 30, spec.bits, spec.row_features
-    h = F.pmod(F.xxhash64(F.col("doc_id"), F.lit(5)), F.lit(size))
-    picked = rows.select(h.alias("h"), "y", "text").where(F.col("h") < int(min(1.0, 1.1 * spec.fit_rows / n_all) * size))
+    bits, most = spec.bits, spec.row_features
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at = held.value
@@ -176,8 +177,8 @@ def train(docs: DataFrame, labels: DataFrame, spec: ToxicSpec = ToxicSpec(), lab
                 feat.append([f for f, _ in pairs])
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sent, pa.list_(pa.int32())), pa.array(feat, pa.list_(pa.int32()))], names=["h", "y", "s", "f"])
 
-    table = picked.mapInArrow(run, "h long, y int, s array<int>, f array<int>").toArrow()
-    order = np.argsort(table["h"].to_numpy(), kind="stable")[: spec.fit_rows]
+    table = rows.mapInArrow(run, "h long, y int, s array<int>, f array<int>").toArrow()
+    order = np.argsort(table["h"].to_numpy(), kind="stable")
     y = table["y"].to_numpy()[order].astype(float)
     s, f = table["s"].to_pylist(), table["f"].to_pylist()
     bags = [(s[i], f[i]) for i in order]
