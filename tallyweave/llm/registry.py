@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat_format, language_id, packing, pii, quality_knn, quality_rules, toxicity
+from . import chat_format, decontaminate, language_id, packing, pii, quality_knn, quality_rules, toxicity
 
-MODULES = (language_id, quality_knn, toxicity, packing, chat_format, pii, quality_rules)
+MODULES = (language_id, quality_knn, decontaminate, packing, toxicity, chat_format, pii, quality_rules)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
