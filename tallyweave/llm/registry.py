@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat_format, decontaminate, language_id, near_dups, packing, pii, quality_knn, quality_rules, toxicity
+from . import chat_format, decontaminate, language_id, near_dups, packing, pii, quality_knn, quality_rules, suffix_dedup, toxicity
 
-MODULES = (near_dups, language_id, quality_knn, decontaminate, packing, toxicity, chat_format, pii, quality_rules)
+MODULES = (near_dups, language_id, quality_knn, decontaminate, packing, toxicity, chat_format, suffix_dedup, pii, quality_rules)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
