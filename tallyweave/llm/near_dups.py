@@ -9,9 +9,10 @@ collisions on the whole signatures, pairs with ``matches`` or more go on, and li
 the full shingle sets.
 
 A posting list never emits all its pairs. First each member meets the list's most central member (the
-one whose values are the most frequent); groups of near copies become one component by that. Members
-of lists that still hold several components are then posted under the rarest quarter of their full
-shingle sets, of which two sets that are similar enough share one, and meet across components there.
+one whose values are the most frequent); groups of near copies become one component by that. Then only
+pairs across components are left: those of lists of at most ``short`` members one by one, while members
+of longer lists are posted under the rarest quarter of their full shingle sets, of which two sets that
+are similar enough share one, and meet there.
 Components are found by rounds of minimum labels with pointer jumping over the links, on the cluster.
 
 Defined cases: null, empty and blank texts have no shingles and are alone; texts of fewer than five
@@ -28,7 +29,8 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+import zstandard
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import cut, read_table
@@ -48,6 +50,8 @@ class NearDupSpec:
     percent: int = 75
     coordinates: int = 64
     matches: int = 34
+    #: Members of a posting list whose pairs across components are met one by one.
+    short: int = 16
     sketch_bits: int = 16
 
     @property
@@ -178,37 +182,71 @@ def postings(classes: DataFrame, spec: NearDupSpec) -> DataFrame:
 
 
 def colliding(pairs: DataFrame, classes: DataFrame, spec: NearDupSpec) -> DataFrame:
-    """The pairs (a, b) whose signatures have at least ``matches`` equal coordinates."""
+    """The pairs (a, b) whose signatures have at least ``matches`` equal coordinates.
+
+    Only the low byte of each value is sent, which can add pairs but never loses one.
+    """
     k, least = spec.coordinates, spec.matches
-    sigs = classes.select("rep", "sig")
-    both = pairs.join(sigs.toDF("a", "sig_a"), "a").join(sigs.toDF("b", "sig_b"), "b")
+    low = classes.select("rep", "low")
+    both = pairs.join(low.toDF("a", "low_a"), "a").join(low.toDF("b", "low_b"), "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                same = (_rows(batch.column(2), k) == _rows(batch.column(3), k)).sum(1) >= least
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(same))
+                x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(-1, k) for i in (2, 3))
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array((x == y).sum(1) >= least))
+
+    return both.select("a", "b", "low_a", "low_b").mapInArrow(run, "a long, b long")
+
+
+def wanted_texts(texts: DataFrame, wanted: DataFrame, bits: int = 24) -> DataFrame:
+    """rep and z, the compressed text, of about the wanted reps. ``wanted``: rep.
+
+    A bitmap of fixed size (2 MB) over hashed ids keeps most other texts out of the shuffles that
+    follow; whatever it lets through is dropped by the joins.
+    """
+    at = F.pmod(F.xxhash64("rep"), F.lit(1 << bits)) + 1
+    rows = wanted.select(at.alias("at")).groupBy(F.bitmap_bucket_number("at").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("map")).collect()
+    width = 4096  # bytes of one of Spark's bitmap buckets, which count from 1
+    table = np.zeros((1 << bits) // 8, np.uint8)
+    for r in rows:
+        at_byte = (r["bucket"] - 1) * width
+        table[at_byte : at_byte + width] = np.frombuffer(bytes(r["map"]).ljust(width, b"\0"), np.uint8)
+    held = texts.sparkSession.sparkContext.broadcast(table)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        press = zstandard.ZstdCompressor(level=1)
+        for batch in batches:
+            i = batch.column(2).to_numpy() - 1
+            there = np.flatnonzero(held.value[i >> 3] >> (i & 7).astype(np.uint8) & 1)
+            take = batch.take(pa.array(there))
+            yield pa.RecordBatch.from_arrays([take.column(0), pa.array([press.compress(t.encode("utf-8", "surrogatepass")) for t in take.column(1).to_pylist()], pa.binary())], names=["rep", "z"])
+
+    return texts.where(F.col("rep").isNotNull() & F.col("text").isNotNull()).select("rep", "text", at.alias("at")).mapInArrow(run, "rep long, z binary")
 
-    return both.select("a", "b", "sig_a", "sig_b").mapInArrow(run, "a long, b long")
+
+def _unpressed(z: bytes) -> str:
+    return zstandard.ZstdDecompressor().decompress(z).decode("utf-8", "surrogatepass")
 
 
 def confirmed(pairs: DataFrame, texts: DataFrame, spec: NearDupSpec) -> DataFrame:
     """The pairs whose full shingle sets are similar enough. ``texts``: rep and text."""
-    both = pairs.join(texts.toDF("b", "text_b"), "b").join(texts.toDF("a", "text_a"), "a")
+    held = wanted_texts(texts, pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct())
+    both = pairs.join(held.toDF("b", "z_b"), "b").join(held.toDF("a", "z_a"), "a")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last: tuple[str | None, np.ndarray] = (None, np.zeros(0, np.uint64))
+        last: tuple[bytes | None, np.ndarray] = (None, np.zeros(0, np.uint64))
         for batch in batches:
             keep = []
-            for ta, tb in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                if ta != last[0]:
-                    last = (ta, shingles(ta, spec.width))
-                x, y = last[1], shingles(tb, spec.width)
+            for za, zb in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+                if za != last[0]:
+                    last = (za, shingles(_unpressed(za), spec.width))
+                x, y = last[1], shingles(_unpressed(zb), spec.width)
                 common = len(np.intersect1d(x, y, assume_unique=True))
                 keep.append(100 * common >= spec.percent * (len(x) + len(y) - common))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return both.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
+    return both.select("a", "b", "z_a", "z_b").mapInArrow(run, "a long, b long").distinct()
 
 
 def components(links: DataFrame, rounds: int = 40) -> DataFrame:
@@ -232,43 +270,54 @@ def components(links: DataFrame, rounds: int = 40) -> DataFrame:
 
 def class_links(classes: DataFrame, texts: DataFrame, spec: NearDupSpec) -> DataFrame:
     """Links (a, b) that connect exactly the classes that are connected by all confirmed pairs."""
-    posted = cut(postings(classes, spec))
+    posted = postings(classes, spec)
     lists = posted.groupBy("place").agg(F.max(F.struct("mass", (-F.col("rep")).alias("r"))).alias("top"), F.count("*").alias("n")).where("n > 1")
-    lists = cut(lists.select("place", (-F.col("top.r")).alias("hub")))
-    first = posted.join(lists, "place").where(F.col("rep") != F.col("hub")).select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct()
+    lists = cut(lists.select("place", (-F.col("top.r")).alias("hub"), "n"))
+    posted = cut(posted.select("place", "rep").join(lists, "place"))
+    first = posted.where("rep <> hub").select(F.least("hub", "rep").alias("a"), F.greatest("hub", "rep").alias("b")).distinct()
     tried = cut(colliding(first, classes, spec))
     links = cut(confirmed(tried, texts, spec))
 
     labels = components(links)
-    marked = posted.join(labels.toDF("rep", "c"), "rep", "left").select("place", "rep", F.coalesce("c", "rep").alias("c"))
+    marked = cut(posted.join(labels.toDF("rep", "c"), "rep", "left").select("place", "rep", F.coalesce("c", "rep").alias("c"), "n"))
+    second = cut(_short_lists(marked.where(F.col("n") <= spec.short), spec).union(_long_lists(marked.where(F.col("n") > spec.short), texts, spec)).distinct())
+    fresh = cut(colliding(second.join(tried, ["a", "b"], "left_anti"), classes, spec))
+    return cut(links.union(confirmed(fresh, texts, spec)))
+
+
+def _short_lists(marked: DataFrame, spec: NearDupSpec) -> DataFrame:
+    """Pairs across components in lists of at most ``short`` members."""
+    x, y = marked.select("place", F.col("rep").alias("a"), F.col("c").alias("ca")), marked.select("place", F.col("rep").alias("b"), F.col("c").alias("cb"))
+    return x.join(y, "place").where("ca < cb").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def _long_lists(marked: DataFrame, texts: DataFrame, spec: NearDupSpec) -> DataFrame:
+    """Pairs across components, of members of longer lists, that may be similar enough by their rare shingles."""
     mixed = marked.groupBy("place").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("place")
-    open_ = marked.join(mixed, "place").select("rep", "c").distinct()
-    rare = cut(rare_shingles(cut(open_.join(texts, "rep").select("rep", "c", "text")), spec))
+    open_ = cut(marked.join(mixed, "place").select("rep", "c").distinct())
+    rare = cut(rare_shingles(cut(open_.join(wanted_texts(texts, open_.select("rep")), "rep").select("rep", "c", "z")), spec))
     x, y = rare.toDF("place", "a", "ca", "na", "ia"), rare.toDF("place", "b", "cb", "nb", "ib")
     # at the rarest common shingle nothing before it is common, which bounds the intersection
     most = F.least(F.col("na") - F.col("ia"), F.col("nb") - F.col("ib"))
     close = (F.col("ca") < F.col("cb")) & ((100 + spec.percent) * most >= spec.percent * (F.col("na") + F.col("nb")))
-    second = cut(colliding(x.join(y, "place").where(close).select("a", "b").distinct(), classes, spec))
-    met = tried.select(F.least("a", "b"), F.greatest("a", "b")).toDF("lo", "hi")
-    fresh = second.select(F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi")).join(met, ["lo", "hi"], "left_anti").toDF("a", "b")
-    return cut(links.union(confirmed(fresh, texts, spec)))
+    return x.join(y, "place").where(close).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def rare_shingles(docs: DataFrame, spec: NearDupSpec) -> DataFrame:
     """place, rep, c, n and i: the rarest shingles of each set of ``n``, as many as it may lose and still
-    be similar enough to another set, and one more; ``i`` of the set are rarer. ``docs``: rep, c and text."""
+    be similar enough to another set, and one more; ``i`` of the set are rarer. ``docs``: rep, c and z."""
     bits = spec.sketch_bits + 2
     size = 1 << bits
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(size, np.int64)
         for batch in batches:
-            for text in batch.column(0).to_pylist():
-                counts += np.bincount((shingles(text, spec.width) & np.uint64(size - 1)).astype(np.int64), minlength=size)
+            for z in batch.column(0).to_pylist():
+                counts += np.bincount((shingles(_unpressed(z), spec.width) & np.uint64(size - 1)).astype(np.int64), minlength=size)
         idx = np.flatnonzero(counts >= 4 + 3 * counts.sum() / size)
         yield pa.RecordBatch.from_pydict({"bucket": pa.array(idx, pa.int64()), "n": pa.array(counts[idx], pa.int64())})
 
-    got = docs.select("text").mapInArrow(count, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
+    got = docs.select("z").mapInArrow(count, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
     table = np.zeros(size, np.int64)
     table[got["bucket"].to_numpy()] = got["n"].to_numpy()
     held = docs.sparkSession.sparkContext.broadcast(table)
@@ -277,8 +326,8 @@ def rare_shingles(docs: DataFrame, spec: NearDupSpec) -> DataFrame:
         often = held.value
         for batch in batches:
             places, reps, cs, ns, at = [], [], [], [], []
-            for rep, c, text in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                s = shingles(text, spec.width)
+            for rep, c, z in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                s = shingles(_unpressed(z), spec.width)
                 keep = len(s) - -(-spec.percent * len(s) // 100) + 1
                 places.append(s[np.lexsort((s, often[(s & np.uint64(size - 1)).astype(np.int64)]))[:keep]].view(np.int64))
                 reps.append(np.full(keep, rep))
@@ -288,7 +337,13 @@ def rare_shingles(docs: DataFrame, spec: NearDupSpec) -> DataFrame:
             if places:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(v).astype(np.int64)) for v in (places, reps, cs, ns, at)], names=["place", "rep", "c", "n", "i"])
 
-    return docs.select("rep", "c", "text").mapInArrow(run, "place long, rep long, c long, n long, i long")
+    return docs.select("rep", "c", "z").mapInArrow(run, "place long, rep long, c long, n long, i long")
+
+
+def _low_bytes(sig: str, k: int) -> Column:
+    """The first byte (the lowest) of each 4-byte value, natively."""
+    digits = F.hex(sig)
+    return F.unhex(F.array_join(F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda i: F.substring(digits, i * 8 + 1, F.lit(2))), ""))
 
 
 def near_dups(docs: DataFrame, spec: NearDupSpec = NearDupSpec()) -> DataFrame:
@@ -296,6 +351,7 @@ def near_dups(docs: DataFrame, spec: NearDupSpec = NearDupSpec()) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long"), "text")
     rows = cut(signed(docs, spec))
     classes = cut(rows.where("set_key is not null and doc_id is not null").groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig")))
+    classes = classes.withColumn("low", _low_bytes("sig", spec.coordinates))
     links = class_links(classes, docs.toDF("rep", "text"), spec)
     labels = components(links)
     named = classes.select("set_key", "rep").join(labels.toDF("rep", "c"), "rep", "left").select("set_key", F.coalesce("c", "rep").alias("c"))
