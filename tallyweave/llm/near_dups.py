@@ -360,6 +360,17 @@ def near_dups(docs: DataFrame, spec: NearDupSpec = NearDupSpec()) -> DataFrame:
     return done.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 
+def keep_one(docs: DataFrame, spec: NearDupSpec = NearDupSpec()) -> DataFrame:
+    """``docs`` with one document of each component, that of the smallest id; all columns stay.
+
+    Rows with a null id stay; of rows that repeat an id and its text one stays.
+    """
+    found = cut(near_dups(docs, spec))
+    left = docs.join(found.where("not kept").select("doc_id"), "doc_id", "left_anti").select(docs.columns)
+    repeated = found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").take(1)
+    return left.dropDuplicates(["doc_id", "text"]) if repeated else left
+
+
 def op1_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dups(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
