@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, read_table
+from .common import bounded_batches, cut, read_table
 
 _TABLE = bytes(c if c >= 128 or chr(c).isdigit() or chr(c).islower() else c + 32 if chr(c).isupper() else 32 for c in range(256))
 _WORD = re.compile("[^\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+")
@@ -166,6 +166,7 @@ HITS = "array<struct<start:int,end:int>>"
 
 def find(docs: DataFrame, benchmark: DataFrame, spec: DecontaminationSpec = DecontaminationSpec(), text: str = "text") -> DataFrame:
     """``docs`` with ``_runs`` (runs of hit words, start and end) and ``_items`` (ids of the items)."""
+    bounded_batches(docs.sparkSession)
     df = docs.withColumn("_runs", F.array().cast(HITS)).withColumn("_items", F.array().cast("array<string>"))
     place, names, schema = docs.columns.index(text), df.columns, df.schema
 

@@ -32,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read_table
+from .common import bounded_batches, read_table
 
 
 @dataclass(frozen=True)
@@ -198,6 +198,7 @@ def pack(docs: DataFrame, vocabulary: str, ranks: str | None = None, pattern: st
         if done := list(packer.finish()):
             yield rows(done)
 
+    bounded_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long"), F.col(text).alias("text")).mapInArrow(run, SCHEMA)
 
 

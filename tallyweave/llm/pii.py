@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read_table
+from .common import bounded_batches, read_table
 
 BASE = ("email", "ip", "card", "phone")
 KINDS = (*BASE, "number", "local_phone", "hidden_email", "secret")
@@ -219,6 +219,7 @@ def _count_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 
 def fit(docs: DataFrame, text: str = "text", threshold: float = 0.5) -> frozenset[int]:
     """The codes of candidate spans that the trained classifier accepts."""
+    bounded_batches(docs.sparkSession)
     counted = docs.select(F.col(text).alias("text")).mapInArrow(_count_batches, "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).orderBy("code")
     rows = counted.collect()  # at most kinds x 3^labelers x 4 codes
     codes = np.array([r["code"] for r in rows], np.int64)
