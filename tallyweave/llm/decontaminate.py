@@ -22,7 +22,7 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -164,20 +164,26 @@ def automata(benchmark: DataFrame, spec: DecontaminationSpec = DecontaminationSp
 HITS = "array<struct<start:int,end:int>>"
 
 
-def find(docs: DataFrame, benchmark: DataFrame, spec: DecontaminationSpec = DecontaminationSpec(), text: str = "text") -> DataFrame:
-    """``docs`` with ``_runs`` (runs of hit words, start and end) and ``_items`` (ids of the items)."""
-    bounded_batches(docs.sparkSession)
-    df = docs.withColumn("_runs", F.array().cast(HITS)).withColumn("_items", F.array().cast("array<string>"))
-    place, names, schema = docs.columns.index(text), df.columns, df.schema
+Hit = tuple[list[tuple[int, int]], list[str]]
+_RUNS = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
 
-    for turn, automaton in enumerate(automata(benchmark, spec)):
-        held = docs.sparkSession.sparkContext.broadcast(automaton)
 
-        def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
+def _scan(docs: DataFrame, benchmark: DataFrame, spec: DecontaminationSpec, text: str, finish: Callable[[pa.RecordBatch, list[Hit]], pa.RecordBatch], schema) -> DataFrame:
+    """One pass for each block of the benchmark; the last one hands each batch of ``docs`` and its hits
+    (runs of hit words, ids of items) to ``finish``, so a benchmark of one block takes one Python worker."""
+    bounded_batches(docs.sparkSession)
+    df = docs.withColumn("_runs", F.array().cast(HITS)).withColumn("_items", F.array().cast("array<string>"))
+    place, names, between = docs.columns.index(text), df.columns, df.schema
+    blocks = automata(benchmark, spec)
+    ahead, turn = next(blocks), 0
+    while ahead is not None:
+        held = docs.sparkSession.sparkContext.broadcast(ahead)
+        ahead, turn = next(blocks, None), turn + 1
+
+        def run(batches: Iterator[pa.RecordBatch], held=held, last=ahead is None) -> Iterator[pa.RecordBatch]:
             one = held.value
-            kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
             for batch in batches:
-                runs, items = [], []
+                hits: list[Hit] = []
                 for t, old, ids in zip(batch.column(place).to_pylist(), batch.column(-2).to_pylist(), batch.column(-1).to_pylist(), strict=True):
                     got, found = one.hits(words_of(t))
                     if old:
@@ -185,29 +191,43 @@ def find(docs: DataFrame, benchmark: DataFrame, spec: DecontaminationSpec = Deco
                         for s, e in sorted([*got, *((x["start"], x["end"]) for x in old)], key=lambda x: (x[1], x[0])):
                             _put(merged, s, e)
                         got = merged
-                    runs.append([{"start": s, "end": e} for s, e in got])
-                    items.append(sorted(found.union(ids)))
-                yield pa.RecordBatch.from_arrays([*batch.columns[:-2], pa.array(runs, kind), pa.array(items, pa.list_(pa.string()))], names=names)
-
-        df = df.mapInArrow(run, schema)
-        if turn % 4 == 3:  # keeps few Python workers in one task
+                    hits.append((got, sorted(found.union(ids))))
+                plain = pa.RecordBatch.from_arrays(batch.columns[:-2], names=names[:-2])
+                if last:
+                    yield finish(plain, hits)
+                else:
+                    runs = [[{"start": s, "end": e} for s, e in r] for r, _ in hits]
+                    yield pa.RecordBatch.from_arrays([*plain.columns, pa.array(runs, _RUNS), pa.array([i for _, i in hits], pa.list_(pa.string()))], names=names)
+
+        df = df.mapInArrow(run, schema if ahead is None else between)
+        if turn % 4 == 0 and ahead is not None:  # keeps few Python workers in one task
             df = cut(df)
     return df
 
 
+def find(docs: DataFrame, benchmark: DataFrame, spec: DecontaminationSpec = DecontaminationSpec(), text: str = "text") -> DataFrame:
+    """``docs`` with runs (of hit words, start and end) and items (ids of the items that occur)."""
+    names = [*docs.columns, "runs", "items"]
+
+    def finish(batch: pa.RecordBatch, hits: list[Hit]) -> pa.RecordBatch:
+        runs = [[{"start": s, "end": e} for s, e in r] for r, _ in hits]
+        return pa.RecordBatch.from_arrays([*batch.columns, pa.array(runs, _RUNS), pa.array([i for _, i in hits], pa.list_(pa.string()))], names=names)
+
+    schema = docs.withColumn("runs", F.array().cast(HITS)).withColumn("items", F.array().cast("array<string>")).schema
+    return _scan(docs, benchmark, spec, text, finish, schema)
+
+
 def report(docs: DataFrame, benchmark: DataFrame, spec: DecontaminationSpec = DecontaminationSpec(), text: str = "text") -> DataFrame:
     """doc_id and the digest of each document's hits."""
-    found = find(docs.select(F.col("doc_id").cast("long"), F.col(text).alias("text")), benchmark, spec)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = []
-            for t, runs, items in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                out.append((len(words_of(t)), sum(x["end"] - x["start"] for x in runs), len(items), hashlib.sha256(",".join(sorted(items)).encode()).hexdigest()))
-            columns = list(zip(*out, strict=True)) if out else [[]] * 4
-            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c, pa.int64()) for c in columns[:3]], pa.array(columns[3], pa.string())], names=["doc_id", "n_words", "n_hit", "n_items", "items_sha256"])
+    def finish(batch: pa.RecordBatch, hits: list[Hit]) -> pa.RecordBatch:
+        n_words = [len(words_of(t)) for t in batch.column(1).to_pylist()]
+        n_hit = [sum(e - s for s, e in runs) for runs, _ in hits]
+        digest = [hashlib.sha256(",".join(items).encode()).hexdigest() for _, items in hits]
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(n_words, pa.int64()), pa.array(n_hit, pa.int64()), pa.array([len(i) for _, i in hits], pa.int64()), pa.array(digest, pa.string())], names=["doc_id", "n_words", "n_hit", "n_items", "items_sha256"])
 
-    done = found.mapInArrow(run, "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string")
+    rows = docs.select(F.col("doc_id").cast("long"), F.col(text).alias("text"))
+    done = _scan(rows, benchmark, spec, "text", finish, "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string")
     return done.withColumn("contaminated", F.col("n_hit") > 0)
 
 
@@ -216,26 +236,25 @@ def remove(docs: DataFrame, benchmark: DataFrame, spec: DecontaminationSpec = De
     of hit words is above ``max_coverage``; all columns stay."""
     schema, place = docs.schema, docs.columns.index(text)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts, keep = [], []
-            for t, runs in zip(batch.column(place).to_pylist(), batch.column(-2).to_pylist(), strict=True):
-                whole = True
-                if runs:
-                    at = [m.span() for m in _WORD.finditer(t)]
-                    whole = sum(x["end"] - x["start"] for x in runs) <= spec.max_coverage * len(at)
-                    parts, last = [], 0
-                    for x in runs:
-                        if x["end"] - x["start"] >= spec.min_run:
-                            parts.append(t[last : at[x["start"]][0]])
-                            last = at[x["end"] - 1][1]
-                    t = "".join([*parts, t[last:]])
-                texts.append(t)
-                keep.append(whole)
-            columns = [pa.array(texts, batch.schema.field(place).type) if i == place else c for i, c in enumerate(batch.columns[:-2])]
-            yield pa.RecordBatch.from_arrays(columns, names=schema.names).filter(pa.array(keep, pa.bool_()))
-
-    return find(docs, benchmark, spec, text).mapInArrow(run, schema)
+    def finish(batch: pa.RecordBatch, hits: list[Hit]) -> pa.RecordBatch:
+        texts, keep = [], []
+        for t, (runs, _) in zip(batch.column(place).to_pylist(), hits, strict=True):
+            whole = True
+            if runs:
+                at = [m.span() for m in _WORD.finditer(t)]
+                whole = sum(e - s for s, e in runs) <= spec.max_coverage * len(at)
+                parts, last = [], 0
+                for s, e in runs:
+                    if e - s >= spec.min_run:
+                        parts.append(t[last : at[s][0]])
+                        last = at[e - 1][1]
+                t = "".join([*parts, t[last:]])
+            texts.append(t)
+            keep.append(whole)
+        columns = [pa.array(texts, batch.schema.field(place).type) if i == place else c for i, c in enumerate(batch.columns)]
+        return pa.RecordBatch.from_arrays(columns, names=schema.names).filter(pa.array(keep, pa.bool_()))
+
+    return _scan(docs, benchmark, spec, text, finish, schema)
 
 
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
