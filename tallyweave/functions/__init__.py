@@ -1,0 +1 @@
+"""Column functions: money, dates, descriptions, features and scores."""

@@ -1,0 +1 @@
+"""Ledger operators: DataFrame in, DataFrame out, all lazy."""

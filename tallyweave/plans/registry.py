@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES: tuple = ()
+from . import agg_q, geometry_q, ledger_q, parse_q, reconcile_q, scalar_q
+
+MODULES = (reconcile_q, ledger_q, agg_q, scalar_q, parse_q, geometry_q)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
