@@ -77,3 +77,38 @@ def cluster_scores(lines: DataFrame, cluster: str = "cluster") -> DataFrame:
     mean = lines.groupBy(cluster).agg(F.avg(t.rlike(MONEY).cast("int")).alias("m"), F.avg(t.rlike(DATE).cast("int")).alias("d"), F.avg(tokens).alias("k"), F.avg(F.length(t)).alias("c"), F.avg(any_of(F.lower(t), rules.SUMMARY_TERMS).cast("int")).alias("s"), F.avg(weak_label(t)).alias("w"), F.count("*").alias("n_lines"))
     plain = F.col("m") * 0.3 + F.col("d") * 0.2 + F.least(F.col("k") / 10, F.lit(1)) * 0.1 + F.least(F.col("c") / 50, F.lit(1)) * 0.1 + (1 - F.col("s")) * 0.1
     return mean.select(cluster, (plain * 0.6 + F.col("w") * 0.4).alias("score"), "n_lines")
+
+
+def layout_features(tokens: DataFrame, page_width: float = 612.0) -> DataFrame:
+    """Features of each line (doc_id, page, line) from its tokens (text, x0, x1, size)."""
+    t, all_ = F.col("text"), F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("x0", "text"))), lambda x: x["text"]), " ")
+    center = (F.col("x0") + F.col("x1")) / 2
+    letters, digits, signs, total = (F.sum(_n(t, p)) for p in ("[A-Za-z]", "[0-9]", r"[^A-Za-z0-9\s]", r"(?s)."))
+    by = tokens.groupBy("doc_id", "page", "line").agg(
+        F.count("*").alias("len_tokens"), (letters / F.greatest(total, F.lit(1))).alias("alpha_ratio"), digits.alias("n_digit"), signs.alias("n_punct"), all_.alias("_t"),
+        ((F.max(center) - F.min(center)) / page_width).alias("x_span"), F.max_by("text", "x1").alias("_last"), F.avg("size").alias("size_mean"), F.stddev_pop("size").alias("size_std"),
+    )
+    return by.select("doc_id", "page", "line", "len_tokens", "alpha_ratio", "n_digit", "n_punct", F.col("_t").rlike(MONEY).cast("int").alias("has_money"), _n(F.col("_t"), MONEY).alias("n_money"), F.col("_t").rlike(DATE).cast("int").alias("has_date"), "x_span", F.trim("_last").rlike(f"^{MONEY}$").cast("int").alias("rightmost_is_money"), "size_mean", "size_std")
+
+
+def cluster_lines(lines: DataFrame, k: int | None = None, seed: int = 7) -> DataFrame:
+    """cluster of each line of a document by k-means on its features; k is a fifth of the lines, 2 to 8.
+
+    A document's lines are one group (a few hundred at most), clustered within it.
+    """
+    import numpy as np
+    import pandas as pd
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        x = group.sort_values("line").reset_index(drop=True)
+        f = np.stack([x.text.str.count(MONEY), x.text.str.count(DATE), x.text.str.len() / 50, x.text.str.count("[0-9]") / x.text.str.len().clip(lower=1)], 1).astype(float)
+        f = (f - f.mean(0)) / np.where(f.std(0) > 0, f.std(0), 1)
+        n = min(len(x), k or min(max(2, len(x) // 5), 8))
+        rng = np.random.default_rng(seed)
+        at = f[rng.choice(len(f), n, replace=False)]
+        for _ in range(25):
+            label = ((f[:, None] - at[None]) ** 2).sum(2).argmin(1)
+            at = np.stack([f[label == i].mean(0) if (label == i).any() else at[i] for i in range(n)])
+        return pd.DataFrame({"doc_id": x.doc_id, "line": x.line, "cluster": label.astype("int32"), "text": x.text})
+
+    return lines.select("doc_id", "line", "text").groupBy("doc_id").applyInPandas(run, "doc_id long, line long, cluster int, text string")

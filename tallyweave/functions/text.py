@@ -89,6 +89,25 @@ def vendor(text: Column) -> Column:
     return F.initcap(F.trim(text))
 
 
+def for_bank(text: Column, bank: str) -> Column:
+    """A bank's own clean-up: prefixes one after the other, then artifacts; white space collapses."""
+    out = F.trim(F.regexp_replace(text, r"\s+", " "))
+    for prefix in rules.BANK_PREFIXES[bank]:
+        out = F.trim(F.regexp_replace(out, "(?i)^" + re.escape(prefix), ""))
+    for pattern in rules.BANK_ARTIFACTS[bank]:
+        out = F.regexp_replace(out, pattern, "")
+    return F.trim(F.regexp_replace(out, r"\s+", " "))
+
+
+def label_field(label: Column) -> Column:
+    """The field that a stated-total label names, by keywords."""
+    low, out = F.lower(label), F.lit(None).cast("string")
+    for name, words in reversed(rules.LABEL_FIELDS):
+        out = F.when(any_of(low, words), name).otherwise(out)
+    out = F.when(out.isNull() & low.contains("deposits") & low.contains("credit"), "deposits").otherwise(out)
+    return F.when(out.isNull() & low.contains("withdrawals") & low.contains("debit"), "withdrawals").otherwise(out)
+
+
 def sheet_name(text: Column) -> Column:
     return F.substring(F.regexp_replace(text, r"[^\w]", "_"), 1, 31)
 

@@ -221,3 +221,32 @@ def continuations(lines_: DataFrame) -> DataFrame:
     pages = lines_.groupBy(*PAGE).agg(F.sort_array(F.collect_list(F.struct("line", F.col("x0").alias("x"), F.col("top").alias("y"), "text", has.alias("has")))).alias("ws"))
     zipped = pages.select(*PAGE, F.explode(F.arrays_zip("ws", F.aggregate("ws", start, step, lambda acc: acc["out"]).alias("g"))).alias("z"))
     return zipped.select(*PAGE, F.col("z.ws.line").alias("line"), F.col("z.g").alias("line_group"), F.col("z.ws.text").alias("text"))
+
+
+def date_by_columns(words: DataFrame, date_columns: tuple[float, ...], reach: float = 30.0, gap: float = 12.0) -> DataFrame:
+    """doc_id, page, line and date_raw: date tokens near a profile's first date column, with those that follow closely.
+
+    Tokens near the later date columns are used up by them. ``words`` have line.
+    """
+    dated = words.where(is_date(F.col("text")) & ~money.looks_like_amount(F.col("text")))
+    near = F.lit(False)
+    for x in date_columns[1:]:
+        near = near | (F.abs(F.col("x0") - x) <= reach)
+    ws = dated.groupBy(*PAGE, "line").agg(F.sort_array(F.collect_list(F.struct("x0", "x1", "text", near.alias("later")))).alias("ws"))
+    start = F.struct(F.lit(None).cast("double").alias("end"), F.array().cast("array<string>").alias("out"))
+
+    def step(acc: Column, w: Column) -> Column:
+        first = acc["end"].isNull() & (F.abs(w["x0"] - date_columns[0]) <= reach)
+        joins = first | (F.coalesce(w["x0"] - acc["end"] <= gap, F.lit(False)) & ~w["later"])
+        return F.struct(F.when(joins, w["x1"]).otherwise(acc["end"]).alias("end"), F.when(joins, F.array_append(acc["out"], w["text"])).otherwise(acc["out"]).alias("out"))
+
+    return ws.select(*PAGE, "line", F.array_join(F.aggregate("ws", start, step, lambda acc: acc["out"]), " ").alias("date_raw")).where("date_raw <> ''")
+
+
+def profile_from(labels: DataFrame, columns_: DataFrame) -> DataFrame:
+    """A generated profile for each document: the most frequent columns of its pages, and for each field the
+    first label (doc_id, rank, label) that names it."""
+    plan = columns_.groupBy("doc_id").agg(F.mode(F.round("amount_x1", 1), True).alias("amount_x1"), F.mode(F.round("balance_x1", 1), True).alias("balance_x1"))
+    named = labels.withColumn("field", text.label_field(F.col("label"))).where("field is not null")
+    fields = named.groupBy("doc_id", "field").agg(F.min_by(F.lower("label"), "rank").alias("label")).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.concat_ws("=", "field", "label"))).alias("totals"))
+    return plan.join(fields, "doc_id", "left")

@@ -91,3 +91,37 @@ def generic(pages: DataFrame) -> DataFrame:
 
 def strategy(n_chars: Column) -> Column:
     return F.when(n_chars < 1000, "pattern_based").when(n_chars < 3000, "light_clustering").when(n_chars < 8000, "adaptive_clustering").otherwise("full_clustering")
+
+
+def derived_pattern(lines: DataFrame) -> str:
+    """The row pattern of a cluster of lines (text): two amounts if half of the lines or more have them.
+
+    One aggregate goes to the driver, which builds a literal pattern from it.
+    """
+    share = lines.agg(F.avg((F.regexp_count("text", F.lit(rules.MONEY_PART)) >= 2).cast("int"))).first()[0]
+    tail = rf"\s+({rules.MONEY_PART})" * (2 if (share or 0) >= 0.5 else 1)
+    return rf"^\s*{rules.DATE_PART}(.+?){tail}\s*$"
+
+
+#: Parsers by name, in order: a predicate on a text column and a function of pages. ``register`` adds one.
+PARSERS: dict[str, tuple] = {}
+
+
+def register(name: str, can_parse, extract) -> None:
+    """Plug in a parser: ``can_parse(text column) -> boolean column``, ``extract(pages) -> rows``."""
+    PARSERS[name] = (can_parse, extract)
+
+
+def parse_registered(pages: DataFrame, parsers: dict[str, tuple] | None = None) -> DataFrame:
+    """doc_id, parser and the rows of the first parser that takes each text; texts that none takes give none."""
+    parsers = PARSERS if parsers is None else parsers
+    taken, out = F.lit(None).cast("string"), None
+    for name, (can_parse, _) in reversed(parsers.items()):
+        taken = F.when(can_parse(F.col("text")), name).otherwise(taken)
+    marked = pages.withColumn("parser", taken)
+    for name, (_, extract) in parsers.items():
+        rows = extract(marked.where(F.col("parser") == name).drop("parser")).withColumn("parser", F.lit(name))
+        out = rows if out is None else out.unionByName(rows, allowMissingColumns=True)
+    if out is None:
+        raise ValueError("no parser is registered")
+    return out

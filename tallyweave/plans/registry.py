@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import agg_q, geometry_q, ledger_q, parse_q, reconcile_q, scalar_q
+from . import agg_q, geometry_q, io_q, ledger_q, parse_q, reconcile_q, scalar_q
 
-MODULES = (reconcile_q, ledger_q, agg_q, scalar_q, parse_q, geometry_q)
+MODULES = (reconcile_q, ledger_q, agg_q, scalar_q, parse_q, geometry_q, io_q)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
