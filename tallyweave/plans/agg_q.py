@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -146,27 +146,31 @@ S["agg_cat_dist"] = _c("SELECT category, count(*) AS n FROM categorised GROUP BY
 Q["agg_cat_stats"] = lambda spark, sf_dir: categorised(spark, sf_dir).groupBy("source").agg(F.count("*").alias("n"))
 S["agg_cat_stats"] = _c("SELECT source, count(*) AS n FROM categorised GROUP BY source")
 
-_BANK = F.element_at(F.array(*[F.lit(p.bank) for p in rules.PROFILES]), (F.col("doc_id") % 5 + 1).cast("int"))
+def _bank() -> Column:
+    return F.element_at(F.array(*[F.lit(p.bank) for p in rules.PROFILES]), (F.col("doc_id") % 5 + 1).cast("int"))
+
+
+
 _BANKS = "[" + ", ".join(f"'{p.bank}'" for p in rules.PROFILES) + "][doc_id % 5 + 1]"
 _BY_BANK = "SELECT {cols} FROM (SELECT *, " + _BANKS + " AS bank FROM (" + REC_SQL["reconcile_cascade"] + "))"
 
 
 def agg_eval_bank(spark: SparkSession, sf_dir: str) -> DataFrame:
-    v = reconcile_cascade(spark, sf_dir).withColumn("bank", _BANK)
+    v = reconcile_cascade(spark, sf_dir).withColumn("bank", _bank())
     return v.rollup("bank").agg(F.count("*").alias("stmts"), F.round(100.0 * F.avg(F.col("reconciled").cast("int")), 4).alias("recon_pct"), F.round(F.avg(F.abs("discrepancy")), 6).alias("mean_disc"), F.round(F.avg("n_rows"), 6).alias("avg_rows"), F.sum((F.col("check_type") == "none").cast("int")).alias("errors"))
 
 
 Q["agg_eval_bank"] = agg_eval_bank
 S["agg_eval_bank"] = _BY_BANK.format(cols="bank, count(*) AS stmts, round(100.0 * avg(reconciled::INT), 4) AS recon_pct, round(avg(abs(discrepancy)), 6) AS mean_disc, round(avg(n_rows), 6) AS avg_rows, CAST(sum((check_type = 'none')::INT) AS BIGINT) AS errors") + " GROUP BY ROLLUP (bank)"
-_wrong = ~F.col("reconciled") & ~F.col("check_type").isin("none", "ending_balance_only")
-Q["agg_eval_error"] = lambda spark, sf_dir: reconcile_cascade(spark, sf_dir).agg(F.count("*").alias("n"), F.sum(F.col("reconciled").cast("int")).alias("reconciled"), F.sum(F.col("check_type").isin("none", "ending_balance_only").cast("int")).alias("unverifiable"), F.sum(_wrong.cast("int")).alias("wrong"))
+_wrong = lambda: ~F.col("reconciled") & ~F.col("check_type").isin("none", "ending_balance_only")
+Q["agg_eval_error"] = lambda spark, sf_dir: reconcile_cascade(spark, sf_dir).agg(F.count("*").alias("n"), F.sum(F.col("reconciled").cast("int")).alias("reconciled"), F.sum(F.col("check_type").isin("none", "ending_balance_only").cast("int")).alias("unverifiable"), F.sum(_wrong().cast("int")).alias("wrong"))
 S["agg_eval_error"] = "SELECT count(*) AS n, CAST(sum(reconciled::INT) AS BIGINT) AS reconciled, CAST(sum((check_type IN ('none', 'ending_balance_only'))::INT) AS BIGINT) AS unverifiable, CAST(sum((NOT reconciled AND check_type NOT IN ('none', 'ending_balance_only'))::INT) AS BIGINT) AS wrong FROM (" + REC_SQL["reconcile_cascade"] + ")"
 Q["agg_check_types"] = lambda spark, sf_dir: reconcile_cascade(spark, sf_dir).groupBy("check_type").agg(F.count("*").alias("n"))
 S["agg_check_types"] = "SELECT check_type, count(*) AS n FROM (" + REC_SQL["reconcile_cascade"] + ") GROUP BY 1"
 
 
 def agg_parser_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    v = reconcile_cascade(spark, sf_dir).withColumn("parser", _BANK)
+    v = reconcile_cascade(spark, sf_dir).withColumn("parser", _bank())
     return v.groupBy("parser").agg(F.sum((F.col("n_rows") > 45).cast("int")).alias("can_parse"), F.sum(F.col("reconciled").cast("int")).alias("success"), F.sum("n_rows").alias("total"), F.sum((F.col("check_type") == "none").cast("int")).alias("errors"))
 
 
