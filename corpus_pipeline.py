@@ -13,14 +13,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyweave.llm import decontaminate, near_dups, packing, pii, quality_knn
-from tallyweave.llm.common import crc_mod, ensure_checkpoint_dir, read_table
+from tallyweave.llm.common import crc_mod, ensure_checkpoint_dir, free_name, read_table
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop the documents that the quality classifier scores under 0.3."""
     labels = read_table(spark, sf_dir, "labels").select("doc_id", "quality").where(crc_mod(F.col("doc_id"), 5) != 0)
     model = quality_knn.train(docs.select("doc_id", "text"), labels)
-    return quality_knn.attach(docs, model, score="_score").where(F.col("_score") >= 0.3).drop("_score")
+    score = free_name("_score", docs.columns)
+    return quality_knn.attach(docs, model, score=score).where(F.col(score) >= 0.3).drop(score)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

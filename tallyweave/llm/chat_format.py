@@ -227,8 +227,8 @@ WITH rows AS (
   SELECT *, 8 + length(role) + {_ADDED.format("role")} + length(role) - length(replace(role, chr(10), '')) + length(text) + {_ADDED.format("text")} AS size FROM rows
 ), said AS (
   SELECT conv_id, count(*) AS n_turns, sum(size) AS formatted_chars,
-    string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text) AS whole,
-    coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '') AS loss
+    string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text) AS whole,
+    coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (WHERE role = 'assistant'), '') AS loss
   FROM turns GROUP BY conv_id
 )
 SELECT conv_id, CAST(n_turns AS BIGINT) AS n_turns, sha256(whole) AS turns_sha256, CAST(length(loss) AS BIGINT) AS loss_chars, sha256(loss) AS loss_sha256, CAST(formatted_chars AS BIGINT) AS formatted_chars FROM said

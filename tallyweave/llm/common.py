@@ -50,6 +50,14 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def free_name(base: str, taken: list[str]) -> str:
+    """``base``, with underscores before it as long as a column has that name (in any case)."""
+    names = {c.lower() for c in taken}
+    while base.lower() in names:
+        base = "_" + base
+    return base
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """Evaluate ``value`` once per row and use it many times inside ``body``."""
     return F.get(F.transform(F.array(value), body), F.lit(0))

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, cut, read_table
+from .common import bounded_batches, cut, free_name, read_table
 
 _TABLE = bytes(c if c >= 128 or chr(c).isdigit() or chr(c).islower() else c + 32 if chr(c).isupper() else 32 for c in range(256))
 _WORD = re.compile("[^\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+")
@@ -172,7 +172,7 @@ def _scan(docs: DataFrame, benchmark: DataFrame, spec: DecontaminationSpec, text
     """One pass for each block of the benchmark; the last one hands each batch of ``docs`` and its hits
     (runs of hit words, ids of items) to ``finish``, so a benchmark of one block takes one Python worker."""
     bounded_batches(docs.sparkSession)
-    df = docs.withColumn("_runs", F.array().cast(HITS)).withColumn("_items", F.array().cast("array<string>"))
+    df = docs.withColumn(free_name("_runs", docs.columns), F.array().cast(HITS)).withColumn(free_name("_items", docs.columns), F.array().cast("array<string>"))
     place, names, between = docs.columns.index(text), df.columns, df.schema
     blocks = automata(benchmark, spec)
     ahead, turn = next(blocks), 0

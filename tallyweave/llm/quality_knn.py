@@ -132,6 +132,7 @@ def document_frequencies(texts: DataFrame) -> tuple[np.ndarray, int]:
 def train(docs: DataFrame, labels: DataFrame, spec: QualitySpec = QualitySpec(), label: str = "quality") -> QualityModel:
     """``docs``: doc_id and text of all documents; ``labels``: doc_id and label of the rows to learn from."""
     bounded_batches(docs.sparkSession)
+    docs = docs.select("doc_id", "text")
     df, n = document_frequencies(docs.select("text"))
     idf = (np.log((1 + n) / (1 + df)) + 0.1).astype(np.float32)
     known = labels.where(F.col("doc_id").isNotNull() & F.col(label).isin(0, 1)).groupBy("doc_id").agg(F.max(label).alias("y"))

@@ -135,6 +135,7 @@ def feature_counts(docs: DataFrame, bits: int) -> DataFrame:
 
 def train(docs: DataFrame, labels: DataFrame, spec: ToxicSpec = ToxicSpec(), label: str = "toxic") -> ToxicModel:
     """``docs``: doc_id and text; ``labels``: doc_id and label of the rows to learn from."""
+    docs = docs.select("doc_id", "text")
     known = labels.where(F.col("doc_id").isNotNull() & F.col(label).isin(0, 1)).groupBy("doc_id").agg(F.max(label).alias("y"))
     there, size = known.count(), 1 << 30
     h = F.pmod(F.xxhash64(F.col("doc_id"), F.lit(5)), F.lit(size))
