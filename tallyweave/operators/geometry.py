@@ -133,7 +133,7 @@ def raw_rows(words: DataFrame, plan: DataFrame, bank_type: str = "credit", date_
     the page and give no row. Lines with several amounts, without a date, without description words,
     and summary lines give none.
     """
-    w = words.join(F.broadcast(plan.select(*PAGE, "amount_x1", "balance_x1")), list(PAGE))
+    w = words.join(plan.select(*PAGE, "amount_x1", "balance_x1"), list(PAGE))
     w = w.withColumn("kind", classify(F.col("x1"), F.col("amount_x1"), F.col("balance_x1"))).withColumn("is_amount", money.looks_like_amount(F.col("text"))).withColumn("is_date", is_date(F.col("text")))
     box = F.struct("x0", "x1", "text", "kind", "is_amount", "is_date")
     by_line = w.groupBy(*PAGE, "line").agg(F.sort_array(F.collect_list(box)).alias("ws"), F.min("top").alias("line_top"))
@@ -181,10 +181,10 @@ def detected_x1(words: DataFrame, pages: int = 6, least: int = 5) -> DataFrame:
     return scored.groupBy("doc_id").agg(F.max_by("x1", F.struct("score", -F.col("x1"))).alias("x1"), F.max("total").alias("n_amounts"))
 
 
-def nearest_profile(edges: DataFrame, profiles: DataFrame) -> DataFrame:
-    """The profile whose amount column is nearest to each document's edge; ties by name. ``profiles`` is a small list."""
-    far = F.abs(F.col("x1") - F.col("amount_column_x1"))
-    return edges.crossJoin(F.broadcast(profiles)).groupBy("doc_id").agg(F.min_by("bank", F.struct(far.alias("d"), "bank")).alias("bank"), F.min(far).alias("distance"))
+def nearest_profile(edges: DataFrame, profiles: tuple[rules.Profile, ...] = rules.PROFILES) -> DataFrame:
+    """The profile whose amount column is nearest to each document's edge; ties by name."""
+    far = [F.struct(F.abs(F.col("x1") - p.amount_x1).alias("distance"), F.lit(p.bank).alias("bank")) for p in profiles]
+    return edges.withColumn("_b", F.array_min(F.array(*far))).select("doc_id", "_b.bank", "_b.distance")
 
 
 def profiles_table(spark) -> DataFrame:
@@ -193,12 +193,14 @@ def profiles_table(spark) -> DataFrame:
     return spark.createDataFrame(rows, "bank string, amount_column_x1 double, balance_column_x1 double, date_columns array<double>, bank_type string")
 
 
-def lookup_profile(banks: DataFrame, profiles: DataFrame) -> DataFrame:
-    """bank and profile: the exact name, else any case, else one name inside the other."""
-    a, b = F.lower("bank"), F.lower("profile")
-    rank = F.when(F.col("bank") == F.col("profile"), 0).when(a == b, 1).when(F.contains(a, b) | F.contains(b, a), 2)
-    both = banks.select("bank").distinct().crossJoin(F.broadcast(profiles.select(F.col("bank").alias("profile")))).withColumn("rank", rank)
-    return both.groupBy("bank").agg(F.min_by("profile", F.when(F.col("rank").isNotNull(), F.struct("rank", "profile"))).alias("profile"))
+def lookup_profile(bank: Column, profiles: tuple[rules.Profile, ...] = rules.PROFILES) -> Column:
+    """The profile of a name: the exact one, else any case, else one name inside the other; ties by name."""
+    a, ranked = F.lower(bank), []
+    for p in profiles:
+        b = F.lit(p.bank.lower())
+        rank = F.when(bank == p.bank, 0).when(a == b, 1).when(F.contains(a, b) | F.contains(b, a), 2)
+        ranked.append(F.when(rank.isNotNull(), F.struct(rank.alias("rank"), F.lit(p.bank).alias("profile"))))
+    return F.array_min(F.array_compact(F.array(*ranked))).getField("profile")
 
 
 def densest_page(words: DataFrame, least: int = 3) -> DataFrame:

@@ -122,7 +122,7 @@ def jn_field_sub(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Full field names that hold a pattern; the first of each pattern."""
     names = spark.createDataFrame([(i, f"topmostSubform[0].Page1[0].{x[2]}[{i % 2}]") for i, x in enumerate((*rules.FORM_FIELDS, *rules.FORM_FIELDS))], "pos int, name string")
     fields = spark.createDataFrame([x for x in rules.FORM_FIELDS], "label string, form_line string, field_pattern string")
-    hit = fields.crossJoin(F.broadcast(names)).where(F.contains("name", "field_pattern"))
+    hit = fields.join(F.broadcast(names), F.contains("name", "field_pattern"))
     return hit.groupBy("label").agg(F.min_by("name", "pos").alias("name"))
 
 

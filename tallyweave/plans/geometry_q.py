@@ -132,7 +132,7 @@ S["geo_fallback"] = _ROW + " SELECT doc_id, page, count(*) AS n_rows FROM rows W
 _X1 = _AMT + ", n AS (SELECT doc_id, round_even(x1, 0) AS x1, count(*) AS n FROM amounts WHERE page <= 6 GROUP BY ALL), t AS (SELECT *, sum(n) OVER (PARTITION BY doc_id) AS total FROM n), edges AS (SELECT doc_id, x1, CAST(total AS BIGINT) AS n_amounts FROM t WHERE total >= 5 QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY n / total * n DESC, x1) = 1)"
 Q["geo_detect_x1"] = lambda spark, sf_dir: G.detected_x1(_words(spark, sf_dir))
 S["geo_detect_x1"] = _W + _X1 + " SELECT doc_id, x1, n_amounts FROM edges"
-Q["geo_layout_match"] = lambda spark, sf_dir: G.nearest_profile(G.detected_x1(_words(spark, sf_dir)), G.profiles_table(spark))
+Q["geo_layout_match"] = lambda spark, sf_dir: G.nearest_profile(G.detected_x1(_words(spark, sf_dir)))
 _PROF = "(VALUES " + ", ".join(f"('{p.bank}', {p.amount_x1}::DOUBLE)" for p in rules.PROFILES) + ") AS p(bank, px)"
 S["geo_layout_match"] = _W + _X1 + f" SELECT doc_id, bank, abs(x1 - px) AS distance FROM edges, {_PROF} QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY abs(x1 - px), bank) = 1"
 Q["jn_nearest"], S["jn_nearest"] = Q["geo_layout_match"], S["geo_layout_match"]
@@ -143,7 +143,7 @@ Q["top_columns"], S["top_columns"] = Q["geo_columns"], S["geo_columns"]
 
 def geo_profile_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = spark.createDataFrame([("Chase",), ("CHASE",), ("citi",), ("Navy Federal Credit Union",), ("nobody",)], "bank string")
-    return G.lookup_profile(names, G.profiles_table(spark).select("bank"))
+    return names.select("bank", G.lookup_profile(F.col("bank")).alias("profile"))
 
 
 Q["geo_profile_lookup"] = geo_profile_lookup

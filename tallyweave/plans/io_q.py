@@ -246,7 +246,7 @@ def srt_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     """For each memory size the best model that fits: quality first, then the larger."""
     models = V.read(spark, sf_dir, "part").select(F.col("p_partkey").alias("model"), (F.col("p_size") / 2.0).alias("size_gb"), (F.col("p_partkey") % 3).alias("quality"))
     hw = spark.createDataFrame([(4.0,), (8.0,), (16.0,)], "avail double")
-    fits = models.crossJoin(F.broadcast(hw)).where(F.col("size_gb") + 1.5 <= F.col("avail"))
+    fits = models.join(F.broadcast(hw), F.col("size_gb") + 1.5 <= F.col("avail"))
     return fits.groupBy("avail").agg(F.min_by("model", F.struct("quality", -F.col("size_gb"), "model")).alias("model"))
 
 

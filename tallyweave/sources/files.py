@@ -60,7 +60,7 @@ def categories_json(spark: SparkSession, path: str | None = None) -> DataFrame:
 
 def match_stems(files: DataFrame, stems: DataFrame) -> DataFrame:
     """stem and path: the first path that holds each stem. ``stems`` is a short list."""
-    hit = files.crossJoin(F.broadcast(stems)).where(F.contains("path", "stem"))
+    hit = files.join(F.broadcast(stems), F.contains("path", "stem"))
     return hit.groupBy("stem").agg(F.min("path").alias("path"))
 
 
