@@ -269,11 +269,15 @@ def components(links: DataFrame, rounds: int = 40) -> DataFrame:
 
 
 def class_links(classes: DataFrame, texts: DataFrame, spec: NearDupSpec) -> DataFrame:
-    """Links (a, b) that connect exactly the classes that are connected by all confirmed pairs."""
+    """Links (a, b) that connect exactly the classes that are connected by all confirmed pairs.
+
+    The joins on places are merge joins of two plain exchanges, so adaptive execution can split the
+    places of large groups over tasks.
+    """
     posted = postings(classes, spec)
     lists = posted.groupBy("place").agg(F.max(F.struct("mass", (-F.col("rep")).alias("r"))).alias("top"), F.count("*").alias("n")).where("n > 1")
     lists = cut(lists.select("place", (-F.col("top.r")).alias("hub"), "n"))
-    posted = cut(posted.select("place", "rep").join(lists, "place"))
+    posted = cut(posted.select("place", "rep").join(lists.hint("merge"), "place"))
     first = posted.where("rep <> hub").select(F.least("hub", "rep").alias("a"), F.greatest("hub", "rep").alias("b")).distinct()
     tried = cut(colliding(first, classes, spec))
     links = cut(confirmed(tried, texts, spec))
@@ -288,19 +292,19 @@ def class_links(classes: DataFrame, texts: DataFrame, spec: NearDupSpec) -> Data
 def _short_lists(marked: DataFrame, spec: NearDupSpec) -> DataFrame:
     """Pairs across components in lists of at most ``short`` members."""
     x, y = marked.select("place", F.col("rep").alias("a"), F.col("c").alias("ca")), marked.select("place", F.col("rep").alias("b"), F.col("c").alias("cb"))
-    return x.join(y, "place").where("ca < cb").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    return x.join(y.hint("merge"), "place").where("ca < cb").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def _long_lists(marked: DataFrame, texts: DataFrame, spec: NearDupSpec) -> DataFrame:
     """Pairs across components, of members of longer lists, that may be similar enough by their rare shingles."""
-    mixed = marked.groupBy("place").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("place")
-    open_ = cut(marked.join(mixed, "place").select("rep", "c").distinct())
+    mixed = cut(marked.groupBy("place").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("place"))
+    open_ = cut(marked.join(mixed.hint("merge"), "place").select("rep", "c").distinct())
     rare = cut(rare_shingles(cut(open_.join(wanted_texts(texts, open_.select("rep")), "rep").select("rep", "c", "z")), spec))
     x, y = rare.toDF("place", "a", "ca", "na", "ia"), rare.toDF("place", "b", "cb", "nb", "ib")
     # at the rarest common shingle nothing before it is common, which bounds the intersection
     most = F.least(F.col("na") - F.col("ia"), F.col("nb") - F.col("ib"))
     close = (F.col("ca") < F.col("cb")) & ((100 + spec.percent) * most >= spec.percent * (F.col("na") + F.col("nb")))
-    return x.join(y, "place").where(close).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    return x.join(y.hint("merge"), "place").where(close).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def rare_shingles(docs: DataFrame, spec: NearDupSpec) -> DataFrame:
