@@ -249,7 +249,7 @@ def confirmed(pairs: DataFrame, texts: DataFrame, spec: NearDupSpec) -> DataFram
     return both.select("a", "b", "z_a", "z_b").mapInArrow(run, "a long, b long").distinct()
 
 
-def components(links: DataFrame, rounds: int = 40) -> DataFrame:
+def components(links: DataFrame, rounds: int = 200) -> DataFrame:
     """node and component (its smallest node) of every node of ``links`` (a, b).
 
     Each round takes the smallest label among a node's neighbours, then the label of that label.
