@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .base import let
+
 _YMD, _MDY, _DMY = r"^(\d{4})S(\d{1,2})S(\d{1,2})$", r"^(\d{1,2})S(\d{1,2})S(\d{4})$", r"^(\d{1,2})S(\d{1,2})S(\d{4})$"
 
 
@@ -33,35 +35,43 @@ def _short(text: Column, sign: str, pivot: int = 69) -> Column:
 
 def base(text: Column, year: Column | None = None) -> Column:
     """Of row parsers: m/d/Y, m/d/y, Y-m-d, m-d-Y, m/d (with the given year, else 1900), d/m/Y."""
-    t = F.trim(text)
     p = r"^(\d{1,2})/(\d{1,2})$"
     hint = F.coalesce(year.cast("string"), F.lit("1900")) if year is not None else F.lit("1900")
-    yearless = F.when(t.rlike(p), _made(hint, F.nullif(F.regexp_extract(t, p, 1), F.lit("")), F.nullif(F.regexp_extract(t, p, 2), F.lit(""))))
-    return F.coalesce(_parts(t, _MDY, "mdy", "/"), _short(t, "/"), _parts(t, _YMD, "ymd", "-"), _parts(t, _MDY, "mdy", "-"), yearless, _parts(t, _DMY, "dmy", "/"))
+
+    def body(t: Column) -> Column:
+        yearless = F.when(t.rlike(p), _made(hint, F.nullif(F.regexp_extract(t, p, 1), F.lit("")), F.nullif(F.regexp_extract(t, p, 2), F.lit(""))))
+        return F.coalesce(_parts(t, _MDY, "mdy", "/"), _short(t, "/"), _parts(t, _YMD, "ymd", "-"), _parts(t, _MDY, "mdy", "-"), yearless, _parts(t, _DMY, "dmy", "/"))
+
+    return let(F.trim(text), body)
 
 
 def validated(text: Column) -> Column:
     """Of the validator: Y-m-d, m/d/Y, m/d/y, d/m/Y, m-d-Y, Y/m/d."""
-    t = F.trim(text)
-    return F.coalesce(_parts(t, _YMD, "ymd", "-"), _parts(t, _MDY, "mdy", "/"), _short(t, "/"), _parts(t, _DMY, "dmy", "/"), _parts(t, _MDY, "mdy", "-"), _parts(t, _YMD, "ymd", "/"))
+    return let(F.trim(text), lambda t: F.coalesce(_parts(t, _YMD, "ymd", "-"), _parts(t, _MDY, "mdy", "/"), _short(t, "/"), _parts(t, _DMY, "dmy", "/"), _parts(t, _MDY, "mdy", "-"), _parts(t, _YMD, "ymd", "/")))
 
 
 def month_day(text: Column, year: Column) -> Column:
     """``Jun 2`` or ``June 2``, with or without ``, 2025``; the given year without."""
-    t = F.trim(text)
     p = r"(?i)^(jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)[a-z]*\s+(\d{1,2})(?:,\s*(\d{4}))?$"
     months = F.array(*[F.lit(m) for m in ("jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec")])
-    month = F.array_position(months, F.lower(F.regexp_extract(t, p, 1))).cast("string")
-    given = F.nullif(F.regexp_extract(t, p, 3), F.lit(""))
-    return F.when(t.rlike(p), _made(F.coalesce(given, year.cast("string")), month, F.nullif(F.regexp_extract(t, p, 2), F.lit(""))))
+
+    def body(t: Column) -> Column:
+        month = F.array_position(months, F.lower(F.regexp_extract(t, p, 1))).cast("string")
+        given = F.nullif(F.regexp_extract(t, p, 3), F.lit(""))
+        return F.when(t.rlike(p), _made(F.coalesce(given, year.cast("string")), month, F.nullif(F.regexp_extract(t, p, 2), F.lit(""))))
+
+    return let(F.trim(text), body)
 
 
 def statement(text: Column, year: Column) -> Column:
     """m/d/y, m/d/Y, m-d (with the given year), m-d-Y: short years are of the 2000s."""
-    t = F.trim(text)
     p = r"^(\d{2})-(\d{2})$"
-    yearless = F.when(t.rlike(p), _made(year.cast("string"), F.nullif(F.regexp_extract(t, p, 1), F.lit("")), F.nullif(F.regexp_extract(t, p, 2), F.lit(""))))
-    return F.coalesce(_parts(t, _MDY, "mdy", "/"), _short(t, "/", 100), yearless, _parts(t, _MDY, "mdy", "-"))
+
+    def body(t: Column) -> Column:
+        yearless = F.when(t.rlike(p), _made(year.cast("string"), F.nullif(F.regexp_extract(t, p, 1), F.lit("")), F.nullif(F.regexp_extract(t, p, 2), F.lit(""))))
+        return F.coalesce(_parts(t, _MDY, "mdy", "/"), _short(t, "/", 100), yearless, _parts(t, _MDY, "mdy", "-"))
+
+    return let(F.trim(text), body)
 
 
 def in_line(text: Column) -> Column:

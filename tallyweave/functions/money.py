@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .base import let
+
 MONEY = "decimal(18,2)"
 
 
@@ -15,59 +17,61 @@ def _number(text: Column) -> Column:
 
 
 def _signed(negative: Column, text: Column) -> Column:
-    value = _number(text)
-    return F.when(negative, -value).otherwise(value).cast(MONEY)
+    return let(_number(text), lambda v: F.when(negative, -v).otherwise(v).cast(MONEY))
 
 
-def _parenthesised(t: Column) -> tuple[Column, Column]:
+def _unwrapped(t: Column) -> Column:
+    """struct(neg, t): whether the text stands in parentheses, and the text within them."""
     inside = t.startswith("(") & t.endswith(")") & (F.length(t) >= 2)
-    return inside, F.when(inside, t.substr(F.lit(2), F.length(t) - 2)).otherwise(t)
+    return F.struct(inside.alias("neg"), F.when(inside, t.substr(F.lit(2), F.length(t) - 2)).otherwise(t).alias("t"))
+
+
+def _minus_first(x: Column) -> Column:
+    """The same after a leading minus is taken off."""
+    minus = x["t"].startswith("-")
+    return F.struct((x["neg"] | minus).alias("neg"), F.when(minus, x["t"].substr(F.lit(2), F.length(x["t"]))).otherwise(x["t"]).alias("t"))
 
 
 def stated(token: Column) -> Column:
     """Of stated totals: parentheses or a leading minus; an equals sign and a leading plus are dropped."""
-    negative, t = _parenthesised(F.trim(token))
-    t = F.when(t.startswith("+"), t.substr(F.lit(2), F.length(t))).otherwise(t)
-    minus = t.startswith("-")
-    t = F.when(minus, t.substr(F.lit(2), F.length(t))).otherwise(t)
-    return _signed(negative | minus, F.trim(F.translate(t, "$,=", "")))
+
+    def plus(x: Column) -> Column:
+        return F.struct(x["neg"].alias("neg"), F.regexp_replace(x["t"], r"^\+", "").alias("t"))
+
+    read = let(let(let(F.trim(token), _unwrapped), plus), _minus_first)
+    return let(read, lambda x: _signed(x["neg"], F.trim(F.translate(x["t"], "$,=", ""))))
 
 
 def word(token: Column) -> Column:
     """Of word boxes: parentheses, a trailing minus, then a leading one."""
-    negative, t = _parenthesised(F.trim(token))
-    after = t.endswith("-")
-    t = F.when(after, t.substr(F.lit(1), F.length(t) - 1)).otherwise(t)
-    before = t.startswith("-")
-    t = F.when(before, t.substr(F.lit(2), F.length(t))).otherwise(t)
-    return _signed(negative | after | before, F.trim(F.translate(t, "$,", "")))
+
+    def minus_last(x: Column) -> Column:
+        return F.struct((x["neg"] | x["t"].endswith("-")).alias("neg"), F.regexp_replace(x["t"], "-$", "").alias("t"))
+
+    read = let(let(let(F.trim(token), _unwrapped), minus_last), _minus_first)
+    return let(read, lambda x: _signed(x["neg"], F.trim(F.translate(x["t"], "$,", ""))))
 
 
 def row(token: Column) -> Column:
     """Of row parsers: parentheses or the number's own sign; all white space is dropped."""
-    t = F.regexp_replace(token, r"[$,\s]", "")
-    negative, t = _parenthesised(t)
-    return _signed(negative, t)
+    return let(let(F.regexp_replace(token, r"[$,\s]", ""), _unwrapped), lambda x: _signed(x["neg"], x["t"]))
 
 
 def validated(value: Column) -> Column:
     """Of the validator: parentheses or the number's own sign."""
-    negative, t = _parenthesised(F.trim(F.translate(value.cast("string"), "$,", "")))
-    return _signed(negative, t)
+    return let(let(F.trim(F.translate(value.cast("string"), "$,", "")), _unwrapped), lambda x: _signed(x["neg"], x["t"]))
 
 
 def in_line(text: Column) -> Column:
     """The last amount of a line of the strictest pattern that matches; negative by words or any minus."""
-    value = F.lit(None).cast("string")
-    for pattern in (r"\$?([0-9]+\.[0-9]{2})", r"\$?([0-9]{1,3}(?:,[0-9]{3})*\.[0-9]{2})"):
-        found = F.regexp_extract_all(text, F.lit(pattern), F.lit(1))
-        value = F.when(F.size(found) > 0, F.element_at(found, -1)).otherwise(value)
-    low = F.lower(text)
-    negative = low.contains("-")
-    for said in ("debit", "withdrawal", "fee", "charge"):
-        negative = negative | low.contains(said)
-    amount = _number(F.translate(value, ",", ""))
-    return F.when(negative, -F.abs(amount)).otherwise(amount).cast(MONEY)
+
+    def body(line: Column) -> Column:
+        last = lambda pattern: F.try_element_at(F.regexp_extract_all(line, F.lit(pattern), F.lit(1)), F.lit(-1))
+        value = F.coalesce(last(r"\$?([0-9]{1,3}(?:,[0-9]{3})*\.[0-9]{2})"), last(r"\$?([0-9]+\.[0-9]{2})"))
+        negative = F.lower(line).rlike("-|debit|withdrawal|fee|charge")
+        return let(_number(F.translate(value, ",", "")), lambda a: F.when(negative, -F.abs(a)).otherwise(a).cast(MONEY))
+
+    return let(text, body)
 
 
 def looks_like_amount(token: Column) -> Column:

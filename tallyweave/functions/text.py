@@ -3,17 +3,12 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .. import rules
-
-
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """Evaluate ``value`` once per row and use it many times inside ``body``."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
+from .base import let
 
 
 def any_of(text: Column, phrases: tuple[str, ...]) -> Column:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import rules
 from ..functions import dates, money, text
+from ..functions.base import let
 from .reconcile import lines_of
 
 
@@ -14,45 +15,48 @@ def _parsed(line: Column, bank: str, year: Column) -> Column:
     """struct(kind, date_raw, txn_date, description, amount, type) of a line, or null."""
     out = F.lit(None).cast("struct<kind:string,date_raw:string,txn_date:date,description:string,amount:decimal(18,2),type:string>")
     for p in reversed(rules.ROW_PATTERNS[bank]):
-        rx = "(?i)" + p.regex
+        rx = ("" if bank == "Chase" and not p.date else "(?i)") + p.regex
         group = lambda i, rx=rx: F.regexp_extract(line, rx, i)
-        raw = group(p.date) if p.date else F.lit("")
         said = F.trim(group(p.text))
-        amount_raw = group(p.amount)
-        kind = p.kind
-        if bank == "Navy Federal":
-            day = dates.statement(raw, year)
-            if kind == "card_state":
-                said = F.concat_ws(" ", said, group(p.more))
-            side = F.when(amount_raw.endswith("-") | F.lit(kind != "checking"), "debit").otherwise("credit")
-            amount = money.row(F.regexp_replace(amount_raw, "-+$", ""))
-            keep = ~F.lower(said).rlike("beginning balance|ending balance")
-        elif bank == "Capital One":
-            day = dates.month_day(raw, year) if kind != "numeric" else dates.base(raw, year)
-            side, amount = F.lit("debit"), money.row(amount_raw)
-            keep = ~(said.contains(" - ") | said.endswith(" -"))
-        elif bank == "Citibank":
-            day = dates.base(dates.add_year(raw, year), year)
-            amount = money.row(amount_raw)
-            side = F.lit("debit")
-            if kind == "autopay":
-                said = F.concat_ws(" ", F.lit("AUTOPAY"), said)
-            keep = amount != 0
-            amount = F.abs(amount)
-        elif bank == "Bank of America":
-            day, value = dates.base(raw), money.row(amount_raw)
-            keep, amount, side = value <= 0, F.abs(value), F.lit("debit")
-        else:
-            day = dates.base(dates.add_year(raw, year), year) if p.date else F.make_date(year, F.lit(1), F.lit(1))
-            value = money.row(amount_raw)
-            keep, amount, side = value >= 0, value, F.lit("debit")
-        good = F.coalesce(keep & day.isNotNull() & amount.isNotNull(), F.lit(False))
-        row = F.struct(F.lit(kind).alias("kind"), raw.alias("date_raw"), day.alias("txn_date"), said.alias("description"), amount.cast("decimal(18,2)").alias("amount"), side.alias("type"))
-        matched = line.rlike(rx) if bank != "Chase" or p.date else line.rlike(p.regex)
-        out = F.when(matched, F.when(good, row)).otherwise(out)
+        if p.more and bank == "Navy Federal" and p.kind == "card_state":
+            said = F.concat_ws(" ", said, group(p.more))
+        parts = F.struct((group(p.date) if p.date else F.lit("")).alias("d"), said.alias("t"), group(p.amount).alias("a"))
+        out = F.when(line.rlike(rx), let(let(parts, _row_of(p.kind, bank, year)), lambda r: F.when(F.coalesce(r["keep"] & r["txn_date"].isNotNull() & r["amount"].isNotNull(), F.lit(False)), r["row"]))).otherwise(out)
     return out
 
 
+def _row_of(kind: str, bank: str, year: Column):
+    return lambda g: _row(g, kind, bank, year)
+
+
+def _row(g: Column, kind: str, bank: str, year: Column) -> Column:
+    """keep, txn_date, amount and the row of a pattern's groups (d, t, a)."""
+    raw, said, side, keep = g["d"], g["t"], F.lit("debit"), F.lit(True)
+    amount = money.row(F.regexp_replace(g["a"], "-+$", "") if bank == "Navy Federal" else g["a"])
+    if bank == "Navy Federal":
+        day = dates.statement(raw, year)
+        side = F.when(g["a"].endswith("-") | F.lit(kind != "checking"), "debit").otherwise("credit")
+        keep = ~F.lower(said).rlike("beginning balance|ending balance")
+    elif bank == "Capital One":
+        day = dates.base(raw, year) if kind == "numeric" else dates.month_day(raw, year)
+        keep = ~(said.contains(" - ") | said.endswith(" -"))
+    elif bank == "Citibank":
+        day = dates.base(dates.add_year(raw, year), year)
+        said = F.concat_ws(" ", F.lit("AUTOPAY"), said) if kind == "autopay" else said
+    elif bank == "Bank of America":
+        day = dates.base(raw)
+    else:
+        day = F.make_date(year, F.lit(1), F.lit(1)) if kind == "dateless" else dates.base(dates.add_year(raw, year), year)
+
+    def made(v: Column) -> Column:
+        ok = keep & {"Citibank": v["amount"] != 0, "Bank of America": v["amount"] <= 0, "Chase": v["amount"] >= 0}.get(bank, F.lit(True))
+        shown = F.abs(v["amount"]) if bank in ("Citibank", "Bank of America") else v["amount"]
+        row = F.struct(F.lit(kind).alias("kind"), raw.alias("date_raw"), v["day"].alias("txn_date"), said.alias("description"), shown.cast("decimal(18,2)").alias("amount"), side.alias("type"))
+        return F.struct(ok.alias("keep"), v["day"].alias("txn_date"), v["amount"].alias("amount"), row.alias("row"))
+
+    return let(F.struct(day.alias("day"), amount.alias("amount")), made)
+
+
 def parse(pages: DataFrame, bank: str, default_year: int) -> DataFrame:
     """doc_id, pos, kind, date_raw, txn_date, description, amount, type of each line that gives a row.
 

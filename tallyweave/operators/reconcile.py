@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from .. import rules
 from ..functions import money
+from ..functions.base import let
 
 CENTS = "decimal(18,2)"
 
@@ -25,10 +26,13 @@ def lines_of(pages: DataFrame, key: str = "doc_id", text: str = "text") -> DataF
 
 def after_label(line: Column, label: Column) -> Column:
     """The first money right of the label on the line, else the first anywhere on it."""
-    at = F.instr(F.lower(line), label)
-    tail = line.substr(at + F.length(label), F.length(line))
     first = lambda t: F.nullif(F.regexp_extract(t, rules.MONEY_ON_LINE, 0), F.lit(""))
-    return F.when((at > 0) & ~line.rlike(rules.YEAR_TO_DATE), money.stated(F.coalesce(first(tail), first(line))))
+
+    def body(at: Column) -> Column:
+        tail = line.substr(at + F.length(label), F.length(line))
+        return F.when((at > 0) & ~line.rlike(rules.YEAR_TO_DATE), money.stated(F.coalesce(first(tail), first(line))))
+
+    return let(F.instr(F.lower(line), label), body)
 
 
 def stated_totals(pages: DataFrame, labels: tuple[tuple[str, str], ...] = rules.TOTAL_LABELS) -> DataFrame:

@@ -119,7 +119,7 @@ lines0 AS (
   )
 )"""
 
-SHAPES = ("{d} {n} {a}", "{d} {n} -${a}", "Total fees for this period ${a}", "New Balance ... ${a}", "Total interest charged in 2025 ${a}", "previous balance ({a})", "{n} continued", "Total deposits {n} = +${a}", "08/24/24 08/26/24 24269794238500664550107 {n} SC ${a}", "Jun 2 Jun 3 {n} ${a}", "07-11 {n} {a}- 314.26", "{d} {d} {n} ${a}")
+SHAPES = ("{d} {n} {a}", "{d} {n} -${a}", "Total fees for this period ${a}", "New Balance ... ${a}", "Total interest charged in 2025 ${a}", "previous balance ({a})", "{n} continued", "Total deposits {n} = +${a}", "08/24/24 08/26/24 24269794238500664550107 {n} SC ${a}", "Jun 2 Jun 3 {n} ${a}", "07-11 {n} {a}- 314.26", "{d} {d} {n} ${a}", "{f} {n} -${a}")
 
 
 def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -127,7 +127,7 @@ def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = txns(spark, sf_dir).withColumn("n", F.upper(F.concat(F.lit("Shop "), F.col("seq") % 7)))
     line = F.lit(None).cast("string")
     for i, shape in enumerate(SHAPES):
-        made = F.replace(F.replace(F.replace(F.lit(shape), F.lit("{d}"), F.date_format("txn_date", "MM/dd")), F.lit("{n}"), F.col("n")), F.lit("{a}"), F.format_number(F.abs("amount"), 2))
+        made = F.replace(F.replace(F.replace(F.replace(F.lit(shape), F.lit("{f}"), F.date_format("txn_date", "MM/dd/yyyy")), F.lit("{d}"), F.date_format("txn_date", "MM/dd")), F.lit("{n}"), F.col("n")), F.lit("{a}"), F.format_number(F.abs("amount"), 2))
         line = F.when(F.col("seq") % len(SHAPES) == i, made).otherwise(line)
     grouped = t.withColumn("line", line).groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("seq", "line"))).alias("ls"))
     head = F.concat(F.when(F.col("doc_id") % 5 == 0, "Chase Bank").when(F.col("doc_id") % 5 == 1, "CITIBANK, N.A. online.citi.com").when(F.col("doc_id") % 5 == 2, "Navy Federal Credit Union").when(F.col("doc_id") % 5 == 3, "Capital One").otherwise("Statement"), F.lit("\nStatement 01/15/2025\n"))
@@ -136,7 +136,7 @@ def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _sql_shape(shape: str) -> str:
     out = "'" + shape + "'"
-    return f"replace(replace(replace({out}, '{{d}}', strftime(txn_date, '%m/%d')), '{{n}}', 'SHOP ' || seq % 7), '{{a}}', format('{{:,.2f}}', CAST(abs(amount) AS DOUBLE)))"
+    return f"replace(replace(replace(replace({out}, '{{f}}', strftime(txn_date, '%m/%d/%Y')), '{{d}}', strftime(txn_date, '%m/%d')), '{{n}}', 'SHOP ' || seq % 7), '{{a}}', format('{{:,.2f}}', CAST(abs(amount) AS DOUBLE)))"
 
 
 TEXTS = (
