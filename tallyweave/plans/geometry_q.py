@@ -191,4 +191,7 @@ def src_ocr_tess(spark: SparkSession, sf_dir: str) -> DataFrame:
 Q["src_ocr_tess"] = src_ocr_tess
 S["src_ocr_tess"] = _W + " SELECT doc_id, page, word_id, text, x0, x0 + 10 AS x1, top, top + 5 AS bottom FROM words WHERE NOT (word_id % 50 - 1 >= 0 AND word_id % 50 - 1 < 30)"
 
+# positions and counts are 32-bit in Spark
+S["geo_tokens"], S["x_ml_feats"] = V.ints(S["geo_tokens"], "line"), V.ints(S["x_ml_feats"], "line", "text_length", "word_count")
+
 QUERIES, ORACLE_SQL = Q, S

@@ -281,4 +281,7 @@ def stream_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 Q["stream_windows"] = stream_windows
 
+# positions and counts are 32-bit in Spark
+S["x_line_feats2"] = V.ints(S["x_line_feats2"], "line", "n_money")
+
 QUERIES, ORACLE_SQL = Q, S

@@ -193,4 +193,7 @@ for _name, _column, _call in (("x_val_date", "e1", lambda t: VA.date_errors(F.co
     Q[_name] = lambda spark, sf_dir, call=_call: V.txns(spark, sf_dir).select(*KEYS, F.array_join(call(None), ",").alias("errors"))
     S[_name] = "WITH " + _VAL.replace("CASE WHEN seq % 13 <> 0 THEN txn_date END AS txn_date, CASE WHEN seq % 17 = 0 THEN NULL WHEN seq % 19 = 0 THEN 2000000.00 WHEN seq % 29 = 0 THEN 0.00 ELSE amount END AS amount", "txn_date AS txn_date") + f" SELECT doc_id, seq, array_to_string({_column}, ',') AS errors FROM errs"
 
+# positions and counts are 32-bit in Spark
+S["srt_date_nulls"] = V.ints(S["srt_date_nulls"], "place")
+
 QUERIES, ORACLE_SQL = Q, S

@@ -221,4 +221,8 @@ def loose_json(said: Column) -> Column:
 
 S["x_json"] = "SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events"
 
+# positions and counts are 32-bit in Spark
+for _n, _c in (("flt_prefilter", ("pos",)), ("flt_skip_lists", ("pos",)), ("flt_postcluster", ("pos",)), ("x_weak_label", ("pos",)), ("x_cluster_score", ("cluster",)), ("x_line_feats", ("pos", "n_tokens", "n_chars", "n_digits", "n_letters", "n_money", "n_dates"))):
+    S[_n] = V.ints(S[_n], *_c)
+
 QUERIES, ORACLE_SQL = Q, S

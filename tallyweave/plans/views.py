@@ -18,6 +18,11 @@ DESCRIPTIONS = (
 )
 
 
+def ints(sql: str, *names: str) -> str:
+    """``sql`` with the named columns as 32-bit integers, as Spark's lengths and sizes are."""
+    return "SELECT * REPLACE (" + ", ".join(f"CAST({n} AS INTEGER) AS {n}" for n in names) + f") FROM ({sql})"
+
+
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
