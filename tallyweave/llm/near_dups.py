@@ -33,7 +33,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, read_table
+from .common import bitmap, cut, lit_up, read_table, spot
 
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _BASE = 0x9E3779B97F4A7C15
@@ -199,30 +199,21 @@ def colliding(pairs: DataFrame, classes: DataFrame, spec: NearDupSpec) -> DataFr
     return both.select("a", "b", "low_a", "low_b").mapInArrow(run, "a long, b long")
 
 
-def wanted_texts(texts: DataFrame, wanted: DataFrame, bits: int = 24) -> DataFrame:
+def wanted_texts(texts: DataFrame, wanted: DataFrame) -> DataFrame:
     """rep and z, the compressed text, of about the wanted reps. ``wanted``: rep.
 
-    A bitmap of fixed size (2 MB) over hashed ids keeps most other texts out of the shuffles that
-    follow; whatever it lets through is dropped by the joins.
+    A bitmap of fixed size keeps most other texts out of the shuffles that follow; whatever it lets
+    through is dropped by the joins.
     """
-    at = F.pmod(F.xxhash64("rep"), F.lit(1 << bits)) + 1
-    rows = wanted.select(at.alias("at")).groupBy(F.bitmap_bucket_number("at").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("map")).collect()
-    width = 4096  # bytes of one of Spark's bitmap buckets, which count from 1
-    table = np.zeros((1 << bits) // 8, np.uint8)
-    for r in rows:
-        at_byte = (r["bucket"] - 1) * width
-        table[at_byte : at_byte + width] = np.frombuffer(bytes(r["map"]).ljust(width, b"\0"), np.uint8)
-    held = texts.sparkSession.sparkContext.broadcast(table)
+    held = texts.sparkSession.sparkContext.broadcast(bitmap(wanted, "rep"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         press = zstandard.ZstdCompressor(level=1)
         for batch in batches:
-            i = batch.column(2).to_numpy() - 1
-            there = np.flatnonzero(held.value[i >> 3] >> (i & 7).astype(np.uint8) & 1)
-            take = batch.take(pa.array(there))
+            take = batch.filter(pa.array(lit_up(held.value, batch.column(2).to_numpy())))
             yield pa.RecordBatch.from_arrays([take.column(0), pa.array([press.compress(t.encode("utf-8", "surrogatepass")) for t in take.column(1).to_pylist()], pa.binary())], names=["rep", "z"])
 
-    return texts.where(F.col("rep").isNotNull() & F.col("text").isNotNull()).select("rep", "text", at.alias("at")).mapInArrow(run, "rep long, z binary")
+    return texts.where(F.col("rep").isNotNull() & F.col("text").isNotNull()).select("rep", "text", spot("rep").alias("at")).mapInArrow(run, "rep long, z binary")
 
 
 def _unpressed(z: bytes) -> str:

@@ -27,10 +27,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, read_table
+from .common import bitmap, cut, lit_up, read_table, spot
 from .near_dups import _BYTES, _powers, mix
 
 _MORE_BYTES = np.random.default_rng(77).integers(1, 1 << 63, 256, dtype=np.uint64)
@@ -226,8 +227,8 @@ def equal_windows(lcp: list[int], rights: list[bytes], lefts: list[bytes], lo: l
 def _runs_of(batch: pa.RecordBatch, buckets: int) -> pa.RecordBatch:
     """Front-coded sorted runs of a batch of texts with their wanted contexts, one for each bucket."""
     by: dict[int, list[tuple[bytes, bytes, int, int, int, int]]] = {}
-    for text, wanted in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-        data = text.encode("utf-8", "surrogatepass")
+    for z, wanted in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+        data = zstandard.ZstdDecompressor().decompress(z)
         for x in wanted:
             p = x["pos"]
             by.setdefault(x["h"] % buckets, []).append((data[p : p + x["right"]], data[p - x["hi"] : p], x["lo"], x["hi"], x["h"], x["c"]))
@@ -240,7 +241,7 @@ def _runs_of(batch: pa.RecordBatch, buckets: int) -> pa.RecordBatch:
 
 
 def merged_windows(texts: DataFrame, total: int, spec: RepeatSpec) -> DataFrame:
-    """h, c, l1 and l2 of windows that two contexts of a gram share. ``texts``: text and wanted."""
+    """h, c, l1 and l2 of windows that two contexts of a gram share. ``texts``: z (compressed) and wanted."""
     buckets = max(int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // spec.bucket))
 
     def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -269,7 +270,7 @@ def merged_windows(texts: DataFrame, total: int, spec: RepeatSpec) -> DataFrame:
         columns = list(zip(*out, strict=True)) if out else [[]] * 4
         return pa.table([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int32(), pa.int32()), strict=True)], names=["h", "c", "l1", "l2"])
 
-    sent = texts.select("text", "wanted").mapInArrow(runs, "bucket long, run binary")
+    sent = texts.select("z", "wanted").mapInArrow(runs, "bucket long, run binary")
     return sent.groupBy("bucket").applyInArrow(combine, "h long, c long, l1 int, l2 int")
 
 
@@ -278,8 +279,8 @@ def counted_windows(texts: DataFrame, spec: RepeatSpec) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for text, wanted in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                data = text.encode("utf-8", "surrogatepass")
+            for z, wanted in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                data = zstandard.ZstdDecompressor().decompress(z)
                 for x in wanted:
                     a, b = x["pos"] - x["hi"], x["pos"] - x["lo"] + spec.length
                     part = np.frombuffer(data, np.uint8, b - a, a)
@@ -288,7 +289,7 @@ def counted_windows(texts: DataFrame, spec: RepeatSpec) -> DataFrame:
                     k = len(start)
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(k, x["h"])), pa.array(np.full(k, x["c"])), pa.array((x["hi"] - start).astype(np.int32)), pa.array(one), pa.array(two)], names=["h", "c", "l1", "w1", "w2"])
 
-    rows = cut(texts.select("text", "wanted").mapInArrow(run, "h long, c long, l1 int, w1 long, w2 long"))
+    rows = cut(texts.select("z", "wanted").mapInArrow(run, "h long, c long, l1 int, w1 long, w2 long"))
     again = rows.groupBy("w1", "w2").count().where("count > 1").select("w1", "w2")
     return rows.join(again, ["w1", "w2"]).select("h", "c", "l1", F.col("l1").alias("l2"))
 
@@ -299,6 +300,20 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text")).select(F.coalesce("doc_id", F.lit(-1)).alias("k1"), F.xxhash64("doc_id", "text").alias("k2"), "doc_id", "text")
 
 
+def _pressed(keyed: DataFrame, table: np.ndarray) -> DataFrame:
+    """doc_id, k1, k2 and z, the compressed text, of the rows whose key is in the bitmap."""
+    held = keyed.sparkSession.sparkContext.broadcast(table)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        press = zstandard.ZstdCompressor(level=1)
+        for batch in batches:
+            take = batch.filter(pa.array(lit_up(held.value, batch.column(4).to_numpy())))
+            z = pa.array([press.compress(t.encode("utf-8", "surrogatepass")) for t in take.column(3).to_pylist()], pa.binary())
+            yield pa.RecordBatch.from_arrays([*take.columns[:3], z], names=["doc_id", "k1", "k2", "z"])
+
+    return keyed.select("doc_id", "k1", "k2", "text", spot("k1", "k2").alias("at")).mapInArrow(run, "doc_id long, k1 long, k2 long, z binary")
+
+
 def repeated_spans(docs: DataFrame, spec: RepeatSpec = RepeatSpec()) -> DataFrame:
     """k1, k2 (key of a row) and spans, the byte ranges (s, e) of its repeated windows, not yet merged."""
     keyed = _keyed(docs)
@@ -321,9 +336,9 @@ def repeated_spans(docs: DataFrame, spec: RepeatSpec = RepeatSpec()) -> DataFram
 
     def wanted(which: Column) -> DataFrame:
         one = F.struct("at.pos", "at.lo", "at.hi", "h", "c", (F.lit(spec.length) - F.col("at.lo")).alias("right"))
-        asked = known.where(which).groupBy("at.k1", "at.k2").agg(F.collect_list(one).alias("wanted"))
+        asked = cut(known.where(which).groupBy("at.k1", "at.k2").agg(F.collect_list(one).alias("wanted")))
         # rows that repeat have one key; any of them will do
-        return long_enough.join(asked, ["k1", "k2"])
+        return _pressed(keyed, bitmap(asked, "k1", "k2")).join(asked, ["k1", "k2"])
 
     several = known.where("kinds > 1").agg(F.count("*"), F.coalesce(F.max("kinds"), F.lit(0))).first()
     whole = known.where("n > 1").select("h", "c", F.col("at.lo").alias("l1"), F.col("at.hi").alias("l2"))
@@ -352,24 +367,45 @@ def merged(spans: list[dict]) -> list[tuple[int, int]]:
     return out
 
 
+SCHEMA = "doc_id long, kept binary, n_bytes long, n_removed long, n_spans long"
+
+
+def _out(doc_ids: pa.Array, out: list[tuple[bytes, int, int, int]]) -> pa.RecordBatch:
+    columns = list(zip(*out, strict=True)) if out else [[]] * 4
+    return pa.RecordBatch.from_arrays([doc_ids, pa.array(columns[0], pa.binary()), *[pa.array(c, pa.int64()) for c in columns[1:]]], names=["doc_id", "kept", "n_bytes", "n_removed", "n_spans"])
+
+
 def remove_repeats(docs: DataFrame, spec: RepeatSpec = RepeatSpec()) -> DataFrame:
-    """doc_id, kept (the bytes that stay), n_bytes, n_removed and n_spans, one row per input row."""
-    both = _keyed(docs).join(cut(repeated_spans(docs, spec)), ["k1", "k2"], "left").select("doc_id", "text", "spans")
+    """doc_id, kept (the bytes that stay), n_bytes, n_removed and n_spans, one row per input row.
+
+    Only texts with repeated windows meet their spans in a join; the others pass as they are.
+    """
+    keyed = _keyed(docs)
+    spans = cut(repeated_spans(docs, spec))
+    table = bitmap(spans, "k1", "k2")
+    held = docs.sparkSession.sparkContext.broadcast(table)
+
+    def untouched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rest = batch.filter(pa.array(~lit_up(held.value, batch.column(2).to_numpy())))
+            data = [t.encode("utf-8", "surrogatepass") for t in rest.column(1).to_pylist()]
+            yield _out(rest.column(0), [(d, len(d), 0, 0) for d in data])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for text, spans in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                data, runs = text.encode("utf-8", "surrogatepass"), merged(spans)
+            for z, found in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                data, runs = zstandard.ZstdDecompressor().decompress(z), merged(found)
                 parts, at = [], 0
                 for s, e in runs:
                     parts.append(data[at:s])
                     at = e
                 out.append((b"".join([*parts, data[at:]]), len(data), sum(e - s for s, e in runs), len(runs)))
-            columns = list(zip(*out, strict=True)) if out else [[]] * 4
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(columns[0], pa.binary()), *[pa.array(c, pa.int64()) for c in columns[1:]]], names=["doc_id", "kept", "n_bytes", "n_removed", "n_spans"])
+            yield _out(batch.column(0), out)
 
-    return both.mapInArrow(run, "doc_id long, kept binary, n_bytes long, n_removed long, n_spans long")
+    rest = keyed.select("doc_id", "text", spot("k1", "k2").alias("at")).mapInArrow(untouched, SCHEMA)
+    touched = _pressed(keyed, table).join(spans, ["k1", "k2"], "left").select("doc_id", "z", "spans").mapInArrow(run, SCHEMA)
+    return rest.union(touched)
 
 
 def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
