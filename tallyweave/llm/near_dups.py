@@ -13,7 +13,7 @@ one whose values are the most frequent); groups of near copies become one compon
 pairs across components are left: those of lists of at most ``short`` members one by one, while members
 of longer lists are posted under the rarest quarter of their full shingle sets, of which two sets that
 are similar enough share one, and meet there.
-Components are found by rounds of minimum labels with pointer jumping over the links, on the cluster.
+Components are found by hooking roots to their smallest neighbours with pointer jumping, on the cluster.
 
 Defined cases: null, empty and blank texts have no shingles and are alone; texts of fewer than five
 words are one shingle; rows that repeat are copies of one class and stay rows of the result; rows
@@ -240,23 +240,43 @@ def confirmed(pairs: DataFrame, texts: DataFrame, spec: NearDupSpec) -> DataFram
     return both.select("a", "b", "z_a", "z_b").mapInArrow(run, "a long, b long").distinct()
 
 
-def components(links: DataFrame, rounds: int = 200) -> DataFrame:
+def components(links: DataFrame) -> DataFrame:
     """node and component (its smallest node) of every node of ``links`` (a, b).
 
-    Each round takes the smallest label among a node's neighbours, then the label of that label.
+    Each round hooks every root to its smallest neighbouring root, follows the hooks to their ends by
+    pointer jumping, and carries the links over to the new roots. Hooks along smallest neighbours
+    form no cycles but pairs, of which the smaller node stays a root, so a root with a link left merges
+    with another in every round: the rounds are at most the logarithm of the nodes, whatever their order.
     """
-    edges = cut(links.select("a", "b").union(links.select(F.col("b"), F.col("a"))).distinct())
-    labels = cut(edges.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("label")))
-    for _ in range(rounds):
-        near = edges.join(labels.toDF("b", "l"), "b").groupBy("a").agg(F.min("l").alias("l"))
-        least = labels.join(near.toDF("node", "l"), "node").select("node", F.least("label", "l").alias("label"), F.col("label").alias("old"))
-        jump = least.join(labels.toDF("label", "up"), "label", "left").select("node", F.least("label", F.coalesce("up", "label")).alias("label"), "old")
-        now = cut(jump)
-        done = not now.where(F.col("label") != F.col("old")).take(1)
-        labels = now.select("node", "label")
-        if done:
-            return labels.toDF("node", "component")
-    raise RuntimeError("the components did not settle")
+    edges = _anew(links.select("a", "b").union(links.select(F.col("b"), F.col("a"))).distinct())
+    labels = edges.select(F.col("a").alias("node")).distinct().withColumn("label", F.col("node"))
+    edges = edges.where("a <> b")
+    while edges.take(1):
+        roots = _hooked(edges)
+        labels = _anew(labels.join(roots.toDF("label", "root"), "label", "left").select("node", F.coalesce("root", "label").alias("label")))
+        moved = edges.join(roots.toDF("a", "x"), "a").select("b", "x").join(roots.toDF("b", "y"), "b")
+        edges = _anew(moved.where("x <> y").select(F.col("x").alias("a"), F.col("y").alias("b")).distinct())
+    least = labels.groupBy("label").agg(F.min("node").alias("component"))
+    return labels.join(least, "label").select("node", "component")
+
+
+def _anew(df: DataFrame) -> DataFrame:
+    """``cut`` for loops: the estimated sizes are forgotten too, which joins would multiply from round to
+    round to numbers of millions of digits."""
+    spark, done = df.sparkSession, cut(df)._jdf
+    return DataFrame(spark._jsparkSession.internalCreateDataFrame(done.queryExecution().toRdd(), done.schema(), False), spark)
+
+
+def _hooked(edges: DataFrame) -> DataFrame:
+    """node and root of every node of ``edges`` (a, b, in both directions, none to itself)."""
+    up = _anew(edges.groupBy("a").agg(F.min("b").alias("up")).toDF("node", "up"))
+    above = lambda: up.toDF("up", "top")
+    up = _anew(up.join(above(), "up").select("node", F.when((F.col("top") == F.col("node")) & (F.col("node") < F.col("up")), F.col("node")).otherwise(F.col("up")).alias("up")))
+    while True:
+        now = _anew(up.join(above(), "up").select("node", F.col("top").alias("up"), (F.col("top") != F.col("up")).alias("moved")))
+        up = now.select("node", "up")
+        if not now.where("moved").take(1):
+            return up
 
 
 def class_links(classes: DataFrame, texts: DataFrame, spec: NearDupSpec) -> DataFrame:

@@ -74,6 +74,15 @@ def test_a_large_group_of_near_copies_goes_through_the_long_lists(spark):
     assert got(spark, docs, N.NearDupSpec(short=4)) == brute(docs)
 
 
+def test_components_of_shuffled_chains_settle(spark):
+    rng = random.Random(3)
+    ids = rng.sample(range(10**6), 4000)
+    chains = [ids[:3000], ids[3000:3990], ids[3990:]]
+    links = [tuple(sorted(x)) for c in chains for x in zip(c, c[1:])] + [(2_000_000, 2_000_000)]
+    got = {r.node: r.component for r in N.components(spark.createDataFrame(links, "a long, b long")).collect()}
+    assert got == {i: min(c) for c in chains for i in c} | {2_000_000: 2_000_000}
+
+
 def test_empty_table(spark):
     assert N.near_dups(odd_docs(spark, [])).collect() == []
 
