@@ -60,12 +60,14 @@ def _row(g: Column, kind: str, bank: str, year: Column) -> Column:
 def parse(pages: DataFrame, bank: str, default_year: int) -> DataFrame:
     """doc_id, pos, kind, date_raw, txn_date, description, amount, type of each line that gives a row.
 
-    Lines of the bank's skip list, blank lines and lines over 500 characters give none. The year of
+    Lines of the bank's skip list and blank lines give none, nor do Citibank's lines over 500 characters. The year of
     dates without one is the statement's, else ``default_year``.
     """
     dated = pages.withColumn("_y", dates.year_hint(F.col("text"), default_year))
     lines = dated.select("doc_id", "_y", F.posexplode(F.split("text", "\n")).alias("pos", "line")).withColumn("line", F.trim("line"))
-    some = lines.where((F.col("line") != "") & (F.length("line") <= 500) & F.col("line").rlike(r"[0-9]"))
+    some = lines.where((F.col("line") != "") & F.col("line").rlike(r"[0-9]"))
+    if bank == "Citibank":
+        some = some.where(F.length("line") <= 500)
     skip = rules.ROW_SKIP[bank]
     if skip:
         some = some.where(~F.col("line").rlike("(?i)" + "|".join(f"(?:{s})" for s in skip)))
