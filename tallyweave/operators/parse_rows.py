@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -71,7 +73,45 @@ def parse(pages: DataFrame, bank: str, default_year: int) -> DataFrame:
     skip = rules.ROW_SKIP[bank]
     if skip:
         some = some.where(~F.col("line").rlike("(?i)" + "|".join(f"(?:{s})" for s in skip)))
-    return some.withColumn("r", _parsed(F.col("line"), bank, F.col("_y"))).where("r is not null").select("doc_id", "pos", "r.*")
+    found = some.withColumn("r", _parsed(F.col("line"), bank, F.col("_y"))).where("r is not null").select("doc_id", "pos", "r.*")
+    return found.unionByName(_second_pass(dated)) if bank == "Citibank" else found
+
+
+_DAY, _CENTS = re.compile(r"[0-9]{2}/[0-9]{2}"), re.compile(r"\$[0-9,]+\.[0-9]{2}")
+_CRAMMED = re.compile(r"([0-9]{2}/[0-9]{2})\s+[0-9]{2}/[0-9]{2}\s+([^0-9]+?)(?=[0-9]{2}/[0-9]{2}|$)")
+
+
+def crammed(body: str | None, reach: int = 10) -> list[tuple[int, str, str, str]]:
+    """(line, date, description, amount) of rows whose amounts stand on other lines.
+
+    Lines of four or more dates without money are split; each row takes the first amount not taken yet,
+    of lines without dates, within ``reach`` lines. Rows without such an amount are left out.
+    """
+    rows, amounts = [], []
+    for i, line in enumerate((body or "").split("\n")):
+        line = line.strip()
+        days, money_here = len(_DAY.findall(line)), _CENTS.findall(line)
+        if days >= 4 and not money_here:
+            rows += [(i, d, t.strip()) for d, t in _CRAMMED.findall(line)]
+        elif money_here and not days:
+            amounts += [(i, a) for a in money_here]
+    out, at = [], 0
+    for i, day, said in rows:
+        while at < len(amounts) and amounts[at][0] < i - reach:  # nor within reach of later rows
+            at += 1
+        if at < len(amounts) and amounts[at][0] <= i + reach:
+            out.append((i, day, said, amounts[at][1]))
+            at += 1
+    return out
+
+
+def _second_pass(dated: DataFrame) -> DataFrame:
+    """Rows of Citibank's crammed lines; the first pass sees neither these lines nor their amounts."""
+    rows = F.udf(crammed, "array<struct<pos:int,d:string,t:string,a:string>>")
+    some = dated.where(F.regexp_count("text", F.lit("[0-9]{2}/[0-9]{2}")) >= 4).select("doc_id", "_y", F.explode(rows("text")).alias("g"))
+    day = dates.base(dates.add_year(F.col("g.d"), F.col("_y")), F.col("_y"))
+    out = some.select("doc_id", "g.pos", F.lit("crammed").alias("kind"), F.col("g.d").alias("date_raw"), day.alias("txn_date"), F.col("g.t").alias("description"), money.row(F.col("g.a")).cast("decimal(18,2)").alias("amount"), F.lit("debit").alias("type"))
+    return out.where("txn_date is not null and amount is not null")
 
 
 def orphans(lines: DataFrame, reach: int = 10) -> DataFrame:
