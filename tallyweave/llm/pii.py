@@ -40,7 +40,7 @@ _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _LOCAL = re.compile(r"(?<![0-9+])\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}(?![0-9])")
 _HIDDEN = re.compile(r"[A-Za-z0-9._-]{1,64} ?[\[(]at[\])] ?[A-Za-z0-9-]{1,64}(?: ?[\[(]dot[\])] ?[A-Za-z]{2,24})+", re.I)
-_SECRET = re.compile(r"(?<![A-Za-z0-9_])(token|secret|password|passwd|api_?key|key)( ?[=:] ?)([\"']?)([A-Za-z0-9_+/-]{16,128})\3", re.I)
+_SECRET = re.compile(r"(?<![A-Za-z0-9_])(token|secret|password|passwd|api_?key|key)( ?[=:] ?)([\"']?)([A-Za-z0-9_+/-]{16,})\3", re.I)
 _DIGIT = re.compile(r"[0-9]")
 _CUES = {
     "email": r"mail|contact|write|reach", "ip": r"\bip\b|address|server|host|addr", "card": r"card|visa|master|credit|payment|account",
@@ -135,7 +135,7 @@ def votes(text: str, kind: int, start: int, end: int) -> tuple[int, ...]:
         shape, gazetteer = (1 if len(digits) >= 10 else 0), (1 if digits[0] != "0" else 0)
     elif name == "secret":
         shape = 1 if any(c.isdigit() for c in span) and any(c.isalpha() for c in span) else -1
-        gazetteer = 1 if re.fullmatch(r"[0-9a-f]{32,128}", span) else 0
+        gazetteer = 1 if re.fullmatch(r"[0-9a-f]{32,}", span) else 0
     else:
         shape, gazetteer = 1, (1 if span.lower().rstrip(")] ").rpartition(" ")[2].strip("([") in _TLDS else 0)
     context = -1 if _AGAINST.search(before) else 1 if _CUE[name].search(before) else 0

@@ -63,6 +63,16 @@ def test_the_model_adds_spans_with_support_and_not_others(spark):
     assert all(found[100 + i] == "" for i in range(40))
 
 
+def test_long_secrets_are_whole(spark):
+    secret = lambda n: ("a1B2c3D4/e5F6_g7" * 200)[:n]
+    said = [f"{head}{quote}{secret(n)}{quote} end" for n in (129, 2000) for head, quote in (("token=", ""), ('key = ', '"'))]
+    for t in said:
+        (_, start, end), = pii.wide_spans(t, pii.base_spans(t))
+        assert t[start:end] in (secret(129), secret(2000))
+    rows = odd_docs(spark, [(i, said[i % 4]) for i in range(40)])
+    assert {r.text for r in pii.mask(rows, pii.fit(rows)).collect()} == {"token=<secret> end", 'key = "<secret>" end'}
+
+
 def test_mask_keeps_columns_and_nulls(spark):
     rows = odd_docs(spark, [(1, "write a@b.co now"), (2, None), (3, "clean")])
     done = pii.mask(rows, frozenset())
