@@ -190,6 +190,10 @@ def estimate(kind: np.ndarray, vote: np.ndarray, n: np.ndarray, rounds: int = 50
     return post, table
 
 
+#: Total weight of the patterns in the regression, which sees their shares: the same fit at every size.
+WEIGHT = 1e6
+
+
 def train(codes: np.ndarray, n: np.ndarray, ridge: float = 1.0, rounds: int = 30) -> np.ndarray:
     """Probability of each code by a logistic regression on the soft labels, by Newton steps."""
     if not len(codes):
@@ -197,7 +201,7 @@ def train(codes: np.ndarray, n: np.ndarray, ridge: float = 1.0, rounds: int = 30
     kind, vote, bucket = _features(codes)
     post, _ = estimate(kind, vote, n.astype(float))
     x = np.concatenate([np.eye(len(KINDS))[kind], *[np.eye(3)[vote[:, i]] for i in range(vote.shape[1])], np.eye(4)[bucket]], axis=1)
-    w, weight = np.zeros(x.shape[1]), np.minimum(n, 1e6).astype(float)
+    w, weight = np.zeros(x.shape[1]), n * (WEIGHT / n.sum())
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
         grad = x.T @ (weight * (p - post)) + ridge * w

@@ -2,6 +2,8 @@ import hashlib
 import random
 import re
 
+import numpy as np
+
 from tallyweave.llm import pii
 
 from .helpers import odd_docs
@@ -63,6 +65,13 @@ def test_the_model_adds_spans_with_support_and_not_others(spark):
     assert all(found[100 + i] == "" for i in range(40))
 
 
+def test_the_fit_sees_shares_at_any_size():
+    codes = np.array([pii.code_of(7, v, 40) for v in ((1, 0, 1, 1, 1), (-1, 0, 1, 1, 1), (-1, 0, -1, 1, 1), (1, 0, -1, -1, 0))])
+    n = np.array([400_000, 900_000, 700_000, 300_000])
+    odds = lambda p: np.log(p / (1 - p))
+    assert np.allclose(odds(pii.train(codes, n)), odds(pii.train(codes, 1000 * n)), atol=1e-3)
+
+
 def test_long_secrets_are_whole(spark):
     secret = lambda n: ("a1B2c3D4/e5F6_g7" * 200)[:n]
     said = [f"{head}{quote}{secret(n)}{quote} end" for n in (129, 2000) for head, quote in (("token=", ""), ('key = ', '"'))]
