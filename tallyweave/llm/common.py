@@ -63,7 +63,12 @@ def spot(*keys: str) -> Column:
 def bitmap(wanted: DataFrame, *keys: str) -> np.ndarray:
     """A bitmap of fixed size over the hashed keys of ``wanted``. It lets some other keys through, never
     fewer; whoever uses it joins afterwards."""
-    at = wanted.select(spot(*keys).alias("at"))
+    return bitmap_of(wanted, spot(*keys))
+
+
+def bitmap_of(wanted: DataFrame, where: Column) -> np.ndarray:
+    """The same for places from 1 to 2 ** ``BITMAP_BITS`` that the caller computes."""
+    at = wanted.select(where.alias("at"))
     rows = at.groupBy(F.bitmap_bucket_number("at").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("map")).collect()
     width = 4096  # bytes of one of Spark's bitmap buckets, which count from 1
     table = np.zeros((1 << BITMAP_BITS) // 8, np.uint8)

@@ -3,16 +3,18 @@
 A document is the set of its five-word shingles. Documents with equal sets are one class. Every class
 has ``coordinates`` MinHash values and is posted under its (coordinate, value) pairs. Two classes with
 at least ``matches`` equal coordinates share one of the ``coordinates - matches + 1`` that come first
-in any order common to all; the order is from rare to frequent values, by a sketch of fixed size, so
-that values of widely shared passages are skipped. Candidate pairs of a posting list count their
-collisions on the whole signatures, pairs with ``matches`` or more go on, and links are confirmed on
-the full shingle sets.
+in any order common to all; the order is from rare to frequent values by their exact counts, so values
+that nobody shares fill the prefix unposted and values of widely shared passages are skipped. Candidate
+pairs of a posting list count their collisions on the whole signatures, pairs with ``matches`` or more
+go on, and links are confirmed on the full shingle sets.
 
 A posting list never emits all its pairs. First each member meets the list's most central member (the
 one whose values are the most frequent); groups of near copies become one component by that. Then only
 pairs across components are left: those of lists of at most ``short`` members one by one, while members
 of longer lists are posted under the rarest quarter of their full shingle sets, of which two sets that
-are similar enough share one, and meet there.
+are similar enough share one. There the exact place of a shared shingle in both sets bounds what the
+two can have in common, shingles with the same members count as one, and only pairs that can still be
+similar enough are made.
 Components are found by hooking roots to their smallest neighbours with pointer jumping, on the cluster.
 
 Defined cases: null, empty and blank texts have no shingles and are alone; texts of fewer than five
@@ -24,16 +26,16 @@ empty result; other columns are carried only by ``keep_one``.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import bitmap, cut, lit_up, read_table, spot
+from .common import BITMAP_BITS, bitmap, bitmap_of, cut, lit_up, read_table, spot
 
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _BASE = 0x9E3779B97F4A7C15
@@ -52,7 +54,6 @@ class NearDupSpec:
     matches: int = 34
     #: Members of a posting list whose pairs across components are met one by one.
     short: int = 16
-    sketch_bits: int = 16
 
     @property
     def prefix(self) -> int:
@@ -138,47 +139,48 @@ def _rows(column: pa.Array, k: int) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint32).reshape(-1, k)
 
 
-def frequency_sketch(classes: DataFrame, spec: NearDupSpec) -> np.ndarray:
-    """How often values of each bucket occur, as far as they stand out within a task; fixed size.
-
-    Any table gives right candidates, since it only sets the common order.
-    """
-    size, k = 1 << spec.sketch_bits, spec.coordinates
+def counted(items: DataFrame, hashes: Callable[[pa.RecordBatch], np.ndarray]) -> DataFrame:
+    """place and n of the hashes that occur twice or more in ``items``; each batch sends a hash once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts, rows = np.zeros(size, np.int64), 0
         for batch in batches:
             if batch.num_rows:
-                places = _places(_rows(batch.column(0), k))
-                counts += np.bincount((places & np.uint64(size - 1)).astype(np.int64).ravel(), minlength=size)
-                rows += batch.num_rows
-        idx = np.flatnonzero(counts >= 8 + 3 * rows * k / size)
-        yield pa.RecordBatch.from_pydict({"bucket": pa.array(idx, pa.int64()), "n": pa.array(counts[idx], pa.int64())})
+                place, n = np.unique(hashes(batch), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(place.view(np.int64)), pa.array(n)], names=["place", "n"])
+
+    return cut(items.mapInArrow(run, "place long, n long").groupBy("place").agg(F.sum("n").alias("n")).where("n > 1"))
+
+
+def low_bits(places: DataFrame) -> np.ndarray:
+    """A bitmap of fixed size over the low bits of ``place``, which keeps most hashes that occur once out
+    of the shuffles that follow; what it lets through is dropped by the joins."""
+    return bitmap_of(places, (F.col("place").bitwiseAND(F.lit((1 << BITMAP_BITS) - 1)) + 1))
 
-    got = classes.select("sig").mapInArrow(run, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
-    table = np.zeros(size, np.int64)
-    table[got["bucket"].to_numpy()] = got["n"].to_numpy()
-    return table
+
+def seen(table: np.ndarray, places: np.ndarray) -> np.ndarray:
+    return lit_up(table, (places & np.uint64((1 << BITMAP_BITS) - 1)).astype(np.int64) + 1)
 
 
 def postings(classes: DataFrame, spec: NearDupSpec) -> DataFrame:
-    """place, rep and mass: the prefix coordinates of every class, and how central the class is."""
-    held = classes.sparkSession.sparkContext.broadcast(frequency_sketch(classes, spec))
-    size, k, prefix = 1 << spec.sketch_bits, spec.coordinates, spec.prefix
+    """place, rep and mass: the prefix coordinates of every class, and how central the class is.
+
+    Values that occur once come first in the common order; nobody can meet there, so they are not posted.
+    """
+    k = spec.coordinates
+    shared = counted(classes.select("sig"), lambda batch: _places(_rows(batch.column(0), k)).ravel())
+    held = classes.sparkSession.sparkContext.broadcast(low_bits(shared))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = held.value
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            places = _places(_rows(batch.column(1), k))
-            often = table[(places & np.uint64(size - 1)).astype(np.int64)]
-            order = np.lexsort((places, often), axis=1)[:, :prefix]
-            mass = (np.log1p(often).sum(1) * 1000).astype(np.int64)
-            reps = batch.column(0).to_numpy(zero_copy_only=False)
-            yield pa.RecordBatch.from_arrays([pa.array(np.take_along_axis(places, order, 1).ravel().view(np.int64)), pa.array(np.repeat(reps, prefix)), pa.array(np.repeat(mass, prefix))], names=["place", "rep", "mass"])
+            if batch.num_rows:
+                places = _places(_rows(batch.column(1), k)).ravel()
+                take = seen(held.value, places)
+                yield pa.RecordBatch.from_arrays([pa.array(places[take].view(np.int64)), pa.array(np.repeat(batch.column(0).to_numpy(zero_copy_only=False), k)[take])], names=["place", "rep"])
 
-    return classes.select("rep", "sig").mapInArrow(run, "place long, rep long, mass long")
+    rows = classes.select("rep", "sig").mapInArrow(run, "place long, rep long").join(shared.hint("merge"), "place")
+    ordered = rows.groupBy("rep").agg(F.sort_array(F.collect_list(F.struct("n", "place"))).alias("s"), F.sum((F.log1p("n") * 1000).cast("long")).alias("mass"))
+    first = F.slice("s", F.lit(1), F.greatest(F.lit(0), F.size("s") - F.lit(k - spec.prefix)))
+    return ordered.select("rep", "mass", F.explode(first).alias("e")).select("e.place", "rep", "mass")
 
 
 def colliding(pairs: DataFrame, classes: DataFrame, spec: NearDupSpec) -> DataFrame:
@@ -307,52 +309,68 @@ def _short_lists(marked: DataFrame, spec: NearDupSpec) -> DataFrame:
 
 
 def _long_lists(marked: DataFrame, texts: DataFrame, spec: NearDupSpec) -> DataFrame:
-    """Pairs across components, of members of longer lists, that may be similar enough by their rare shingles."""
+    """Pairs across components, of members of longer lists, that may be similar enough by their rare shingles.
+
+    Shingles that the same sets hold are one place, so a shared passage brings a pair up once and not with
+    each of its shingles. At the rarest common shingle nothing before it is common, which bounds what two
+    sets share.
+    """
     mixed = cut(marked.groupBy("place").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("place"))
     open_ = cut(marked.join(mixed.hint("merge"), "place").select("rep", "c").distinct())
     rare = cut(rare_shingles(cut(open_.join(wanted_texts(texts, open_.select("rep")), "rep").select("rep", "c", "z")), spec))
-    x, y = rare.toDF("place", "a", "ca", "na", "ia"), rare.toDF("place", "b", "cb", "nb", "ib")
-    # at the rarest common shingle nothing before it is common, which bounds the intersection
-    most = F.least(F.col("na") - F.col("ia"), F.col("nb") - F.col("ib"))
-    close = (F.col("ca") < F.col("cb")) & ((100 + spec.percent) * most >= spec.percent * (F.col("na") + F.col("nb")))
-    return x.join(y.hint("merge"), "place").where(close).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    members = [F.bit_xor(F.xxhash64("rep", F.lit(i))).alias(f"g{i}") for i in range(2)]
+    lists = rare.groupBy("place").agg(*members, F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("place", "g0", "g1")
+    met = rare.join(lists.hint("merge"), "place").groupBy("g0", "g1", "rep").agg(F.first("c").alias("c"), F.first("n").alias("n"), (F.first("n") - F.min("i")).alias("most"))
+    return _close_pairs(cut(met), spec)
+
+
+def _close_pairs(met: DataFrame, spec: NearDupSpec) -> DataFrame:
+    """Pairs across components that the bounds leave, without trying all pairs of a list. ``met``: list
+    (g0, g1), rep, c, n and most, what the set can share with another one that it meets there.
+
+    Of two similar sets the smaller one can share as much as sets of its own size must; sets that cannot
+    (the weak ones) never meet each other. Members of a list's largest component never meet each other
+    either, and only neighbouring bands of sizes meet.
+    """
+    need, have = spec.percent, 100 + spec.percent
+    sizes = met.groupBy("g0", "g1", "c").count().groupBy("g0", "g1").agg(F.max(F.struct("count", "c")).alias("top"))
+    band = F.floor(F.log("n") / float(np.log(105 / need)))
+    held = cut(met.join(sizes.hint("merge"), ["g0", "g1"]).select("g0", "g1", "rep", "c", "n", "most", band.alias("band"), (F.col("c") != F.col("top.c")).alias("other"), (have * F.col("most") >= 2 * need * F.col("n")).alias("strong")))
+    x = held.select("g0", "g1", F.explode(F.array(*[F.col("band") + i for i in (-1, 0, 1)])).alias("band"), F.col("rep").alias("a"), F.col("c").alias("ca"), F.col("n").alias("na"), F.col("most").alias("ma"), "strong")
+    y = held.select("g0", "g1", "band", F.col("rep").alias("b"), F.col("c").alias("cb"), F.col("n").alias("nb"), F.col("most").alias("mb"), "other", F.col("strong").alias("strong_b"))
+    close = (F.col("ca") != F.col("cb")) & (have * F.least("ma", "mb") >= need * (F.col("na") + F.col("nb")))
+
+    def met_by(left: DataFrame, right: DataFrame) -> DataFrame:
+        return left.join(right.hint("merge"), ["g0", "g1", "band"]).where(close).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+
+    return met_by(x, y.where("other and strong_b")).union(met_by(x.where("strong"), y.where("other and not strong_b"))).distinct()
 
 
 def rare_shingles(docs: DataFrame, spec: NearDupSpec) -> DataFrame:
     """place, rep, c, n and i: the rarest shingles of each set of ``n``, as many as it may lose and still
-    be similar enough to another set, and one more; ``i`` of the set are rarer. ``docs``: rep, c and z."""
-    bits = spec.sketch_bits + 2
-    size = 1 << bits
+    be similar enough to another set, and one more, without those that no other set holds; ``i`` of the
+    set are rarer. ``docs``: rep, c and z."""
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(size, np.int64)
-        for batch in batches:
-            for z in batch.column(0).to_pylist():
-                counts += np.bincount((shingles(_unpressed(z), spec.width) & np.uint64(size - 1)).astype(np.int64), minlength=size)
-        idx = np.flatnonzero(counts >= 4 + 3 * counts.sum() / size)
-        yield pa.RecordBatch.from_pydict({"bucket": pa.array(idx, pa.int64()), "n": pa.array(counts[idx], pa.int64())})
+    def sets(column: pa.Array) -> list[np.ndarray]:
+        return [shingles(_unpressed(z), spec.width) for z in column.to_pylist()]
 
-    got = docs.select("z").mapInArrow(count, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
-    table = np.zeros(size, np.int64)
-    table[got["bucket"].to_numpy()] = got["n"].to_numpy()
-    held = docs.sparkSession.sparkContext.broadcast(table)
+    shared = counted(docs.select("z"), lambda batch: np.concatenate(sets(batch.column(0)))).withColumnRenamed("n", "m")
+    held = docs.sparkSession.sparkContext.broadcast(low_bits(shared))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        often = held.value
         for batch in batches:
-            places, reps, cs, ns, at = [], [], [], [], []
-            for rep, c, z in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                s = shingles(_unpressed(z), spec.width)
-                keep = len(s) - -(-spec.percent * len(s) // 100) + 1
-                places.append(s[np.lexsort((s, often[(s & np.uint64(size - 1)).astype(np.int64)]))[:keep]].view(np.int64))
-                reps.append(np.full(keep, rep))
-                cs.append(np.full(keep, c))
-                ns.append(np.full(keep, len(s)))
-                at.append(np.arange(keep))
-            if places:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(v).astype(np.int64)) for v in (places, reps, cs, ns, at)], names=["place", "rep", "c", "n", "i"])
-
-    return docs.select("rep", "c", "z").mapInArrow(run, "place long, rep long, c long, n long, i long")
+            for at in range(0, batch.num_rows, 64):
+                part = batch.slice(at, 64)
+                found = sets(part.column(2))
+                took = [s[seen(held.value, s)] for s in found]
+                rep, c, n = (np.repeat(np.asarray(v), [len(s) for s in took]) for v in (part.column(0).to_numpy(), part.column(1).to_numpy(), [len(s) for s in found]))
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(took).view(np.int64)), pa.array(rep), pa.array(c), pa.array(n)], names=["place", "rep", "c", "n"])
+
+    rows = docs.select("rep", "c", "z").mapInArrow(run, "place long, rep long, c long, n long").join(shared.hint("merge"), "place")
+    whole, ordered = Window.partitionBy("rep"), Window.partitionBy("rep").orderBy("m", "place")
+    ranked = rows.withColumn("i", F.col("n") - F.count("*").over(whole) + F.row_number().over(ordered) - 1)
+    keep = F.floor((100 - spec.percent) * F.col("n") / 100) + 1
+    return ranked.where(F.col("i") < keep).select("place", "rep", "c", "n", "i")
 
 
 def _low_bytes(sig: str, k: int) -> Column:
