@@ -1,10 +1,15 @@
 """Quality rules with risk-controlled thresholds.
 
-Every text gets a few plain measures (symbols, repeated lines, repeated word windows, ...). For
-each stratum and measure a labelled holdout picks the cutoff: of a fixed grid, the lowest one whose
-rate of falsely rejected good texts is bounded by ``alpha`` with confidence ``1 - delta`` by the
-exact binomial (Clopper-Pearson) bound, with ``delta`` shared over all tests (Bonferroni). A cutoff
-that no holdout can certify is not used, so the rule then rejects nothing.
+Every text gets a few plain measures (symbols, repeated lines, repeated word windows, ...). A path of
+ever stricter rules is fixed beforehand: each step lowers one measure's cutoff by one notch of its grid,
+the lax notches of all measures first, and the rule of a step rejects what any measure's cutoff so far
+rejects. For each stratum, steps that reject no badly labelled row that earlier ones leave are skipped.
+Then the good rows of a labelled holdout test the whole rule of each step in order: its rate of falsely
+rejected good texts is at most ``alpha`` if the exact binomial (Clopper-Pearson) bound says so. The last
+step before the first failure is the stratum's rule. The bound is on the joint verdict, not on single
+cutoffs; a fixed sequence needs no correction along the path, and ``delta`` is shared over the strata by
+their good rows (weighted Bonferroni), so with confidence ``1 - delta`` no stratum rejects more than
+``alpha`` of its good texts that pass the base rule. Without a certified step nothing is rejected.
 
 Everything is DataFrame functions; no Python runs on the executors.
 
@@ -38,15 +43,16 @@ GRIDS: dict[str, tuple[float, ...]] = {
 
 @dataclass(frozen=True)
 class RiskSpec:
-    """alpha: bound on the share of good texts a rule may reject; delta: chance that any bound fails."""
+    """alpha: bound on the share of good texts a stratum may reject; delta: chance that any bound fails."""
 
     alpha: float = 0.02
     delta: float = 0.05
     strata: tuple[str, ...] = ("de", "en", "es", "fr")
 
-    @property
-    def tests(self) -> int:
-        return (len(self.strata) + 1) * sum(len(g) for g in GRIDS.values())
+
+def path() -> list[tuple[str, float]]:
+    """The steps (measure, cutoff), from the laxest notch of all grids to the strictest."""
+    return [(m, c) for _, m, c in sorted(((i / len(grid), m, c) for m, grid in GRIDS.items() for i, c in enumerate(grid)), key=lambda x: x[0])]
 
 
 def _windows(hashes: Column) -> Column:
@@ -85,18 +91,20 @@ def measures(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_
     def repeats(w: Column) -> Column:
         return F.when(F.size(F.array_distinct(w)) == F.size(w), F.lit(0)).otherwise(_covered(w))
 
+    def by_hash(h: Column) -> Column:
+        return F.struct(F.size(F.array_distinct(h)).cast("long").alias("distinct"), let(_windows(h), repeats).cast("long").alias("repeats"))
+
     kept_lines = F.filter(F.split("_t", "\n", -1), used)
     counted = held.select(
         *keep,
         F.size("_w").cast("long").alias("n_words"),
-        F.size(F.array_distinct("_w")).cast("long").alias("n_distinct"),
         F.length(F.translate("_t", " " + SPACES, "")).cast("long").alias("word_chars"),
         (F.length("_t") - F.length(F.translate("_t", SYMBOLS, ""))).cast("long").alias("n_symbols"),
         (F.length("_t") - F.length(F.translate("_t", upper, ""))).cast("long").alias("n_upper"),
         (F.length("_t") - F.length(F.translate("_t", "!", ""))).cast("long").alias("n_bangs"),
         let(kept_lines, lambda p: F.struct(lines(p).cast("long").alias("dup"), F.size(p).alias("all"))).alias("_l"),
-        let(let(F.transform("_w", lambda x: F.xxhash64(x)), _windows), repeats).cast("long").alias("n_repeat_words"),
-    )
+        let(F.transform("_w", lambda x: F.xxhash64(x)), by_hash).alias("_h"),
+    ).select("*", F.col("_h.distinct").alias("n_distinct"), F.col("_h.repeats").alias("n_repeat_words"))
     n = F.greatest(F.col("n_words"), F.lit(1))
     return counted.select(
         *keep, "n_words", "word_chars", "n_symbols", F.col("_l.dup").alias("n_dup_lines"), "n_repeat_words",
@@ -113,7 +121,7 @@ def base_failed() -> Column:
     return (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
 
 
-def certified(k: Column, n: Column, alpha: float, level: float) -> Column:
+def certified(k: Column, n: Column, alpha: float, level: float | Column) -> Column:
     """Whether the exact upper bound on a rate with ``k`` of ``n`` events is at most ``alpha``.
 
     The bound at ``1 - level`` is at most ``alpha`` exactly if Bin(n, alpha) has at most ``level`` of
@@ -128,34 +136,58 @@ def certified(k: Column, n: Column, alpha: float, level: float) -> Column:
         return F.struct(term.alias("term"), (F.greatest(acc["all"], term) + F.log1p(F.exp(-F.abs(acc["all"] - term)))).alias("all"))
 
     mass = F.aggregate(F.when(k >= 1, F.sequence(F.lit(1), k.cast("int"))).otherwise(F.array().cast("array<int>")), start, step, lambda acc: acc["all"])
-    return (n > 0) & (k < n * alpha) & (mass <= F.log(F.lit(level)))
+    return (n > 0) & (k < n * alpha) & (mass <= F.log(level if isinstance(level, Column) else F.lit(level)))
 
 
 def stratum(column: Column, spec: RiskSpec) -> Column:
     return F.when(column.isin(*spec.strata), column).otherwise(F.lit("other"))
 
 
+def first_step(steps: list[tuple[str, float]], use: Column) -> Column:
+    """The first step of those in ``use`` (an array of step numbers) that rejects a row; null if none does."""
+    hits = [F.when((F.col(m) > c) & F.array_contains(use, i), i) for i, (m, c) in enumerate(steps)]
+    return F.array_min(F.array_compact(F.array(*hits)))
+
+
 def choose_cutoffs(holdout: DataFrame, spec: RiskSpec) -> list[tuple[str, str, float]]:
-    """(stratum, measure, cutoff) from good rows of a labelled holdout with ``stratum`` and the measures.
+    """(stratum, measure, cutoff) from a labelled holdout: quality (0 or 1), stratum and the measures.
 
-    One aggregation; the driver gets at most one row for each stratum of the fixed list.
+    Three aggregations; the driver gets at most one row for each step and stratum of the fixed lists.
     """
-    tests = [(m, c) for m, grid in GRIDS.items() for c in grid]
-    counts = holdout.groupBy("stratum").agg(F.count("*").alias("n"), *[F.sum((F.col(m) > c).cast("long")).alias(f"k{i}") for i, (m, c) in enumerate(tests)])
-    level = spec.delta / spec.tests
-    ok = counts.select("stratum", *[certified(F.col(f"k{i}"), F.col("n"), spec.alpha, level).alias(f"ok{i}") for i in range(len(tests))])
+    steps = path()
+    every = F.sequence(F.lit(0), F.lit(len(steps) - 1))
+    bad = holdout.where("quality = 0").select("stratum", first_step(steps, every).alias("t")).where("t is not null").distinct().collect()
+    useful: dict[str, list[int]] = {}
+    for row in sorted(bad):
+        useful.setdefault(row["stratum"], []).append(row["t"])
+    good = holdout.where("quality = 1")
+    sizes = {r["stratum"]: r["count"] for r in good.groupBy("stratum").count().collect()}
+    tested = [(x, t, sizes[x]) for x, ts in useful.items() if x in sizes for t in ts]
+    if not tested:
+        return []
+    use = F.lit(None).cast("array<int>")
+    for x, ts in useful.items():
+        use = F.when(F.col("stratum") == x, F.array(*map(F.lit, ts))).otherwise(use)
+    lost = good.select("stratum", first_step(steps, use).alias("t")).where("t is not null").groupBy("stratum", "t").agg(F.count("*").alias("k"))
+    spark, total = holdout.sparkSession, sum(sizes.values())
+    asked = spark.createDataFrame(tested, "stratum string, step int, n long").join(F.broadcast(lost), "stratum", "left")  # a row for each step and stratum at most
+    upto = asked.groupBy("stratum", "step", "n").agg(F.coalesce(F.sum(F.when(F.col("t") <= F.col("step"), F.col("k"))), F.lit(0)).alias("k"))
+    ok = upto.select("stratum", "step", certified(F.col("k"), F.col("n"), spec.alpha, F.col("n") * spec.delta / total).alias("ok")).orderBy("stratum", "step").collect()
     chosen: dict[tuple[str, str], float] = {}
-    for row in ok.collect():
-        for i, (m, c) in enumerate(tests):
-            if row[f"ok{i}"]:
-                chosen[row["stratum"], m] = min(c, chosen.get((row["stratum"], m), c))
-    return [(s, m, c) for (s, m), c in sorted(chosen.items())]
+    stopped: set[str] = set()
+    for row in ok:
+        if not row["ok"]:
+            stopped.add(row["stratum"])
+        if row["stratum"] not in stopped:
+            m, c = steps[row["step"]]
+            chosen[row["stratum"], m] = min(c, chosen.get((row["stratum"], m), c))
+    return [(x, m, c) for (x, m), c in sorted(chosen.items())]
 
 
 def rejected(cutoffs: list[tuple[str, str, float]]) -> Column:
     verdict = F.lit(False)
-    for s, m, c in cutoffs:
-        verdict = verdict | ((F.col("stratum") == s) & (F.col(m) > c))
+    for x, m, c in cutoffs:
+        verdict = verdict | ((F.col("stratum") == x) & (F.col(m) > c))
     return verdict
 
 
@@ -164,12 +196,12 @@ def quality_rules(docs: DataFrame, labels: DataFrame, spec: RiskSpec = RiskSpec(
 
     Returns doc_id, the counts, the ratios, stratum, base_failed and kept, one row per input row.
     The measures are computed once and checkpointed (about 100 bytes a document); the holdout is
-    the labelled good rows that pass the base rule.
+    the labelled rows that pass the base rule. A document labelled both ways counts as good.
     """
     d = docs.select("doc_id", F.col(text).alias("text"), F.col(stratum_column).cast("string").alias("_s"))
     m = cut(measures(d, keep=("doc_id", "_s")).withColumn("stratum", stratum(F.col("_s"), spec)).drop("_s").withColumn("base_failed", base_failed()))
-    good = labels.where(F.col("quality") == 1).select("doc_id").distinct()
-    cutoffs = choose_cutoffs(m.where(~F.col("base_failed")).join(good, "doc_id", "left_semi"), spec)
+    known = labels.where(F.col("quality").isin(0, 1)).groupBy("doc_id").agg(F.max("quality").alias("quality"))
+    cutoffs = choose_cutoffs(cut(m.where(~F.col("base_failed")).join(known, "doc_id")), spec)
     return m.withColumn("kept", ~F.col("base_failed") & ~rejected(cutoffs))
 
 

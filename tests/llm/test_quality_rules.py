@@ -43,6 +43,64 @@ def test_large_holdouts_do_not_underflow(spark):
     assert [r.ok for r in df.collect()] == [True, True, False]
 
 
+def plain(t):
+    """The measures of a text, in plain Python."""
+    words, chars, symbols, dup, repeated = brute(t)
+    n, w = max(words, 1), re.findall(r"[^\x20\x09-\x0D]+", t or "")
+    lines = [x for x in (t or "").split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+    return {
+        "symbol_ratio": symbols / n, "upper_ratio": sum("A" <= c <= "Z" for c in t or "") / max(chars, 1), "dup_line_ratio": dup / max(len(lines), 1),
+        "repeat_ratio": repeated / n, "same_word_ratio": 1 - len(set(w)) / n if words < 100 else 0.0, "bang_ratio": (t or "").count("!") / n,
+    }
+
+
+def test_cutoffs_match_a_plain_search(spark):
+    rng, spec = random.Random(5), R.RiskSpec(strata=("en", "fr"))
+    docs, labels = [], []
+    for i in range(900):
+        w = prose(rng, 40).split()
+        junk = i % 4 == 0
+        docs.append((i, " ".join(x + ("$" if rng.random() < (0.9 if junk else 0.02) else "") + ("!" if junk and rng.random() < 0.4 else "") for x in w)))
+        labels.append((i, int(not junk)))
+    rows = odd_docs(spark, docs)
+    out = R.quality_rules(rows, spark.createDataFrame(labels, "doc_id long, quality int"), spec).collect()
+    steps, table, good = R.path(), {i: plain(t) for i, t in docs}, dict(labels)
+    hits = {i: [j for j, (m, c) in enumerate(steps) if table[i][m] > c] for i, _ in docs}
+    total, rule = sum(good.values()), {}
+    for lang, parity in (("en", 1), ("fr", 0)):
+        ids = [i for i, _ in docs if i % 2 == parity]
+        useful = sorted({min(hits[i]) for i in ids if not good[i] and hits[i]})
+        n = sum(good[i] for i in ids)
+        rule[lang] = []
+        for at, t in enumerate(useful):
+            k = sum(good[i] and any(j in useful[: at + 1] for j in hits[i]) for i in ids)
+            if not (k < n * spec.alpha and binomial(k, n, spec.alpha) <= spec.delta * n / total):
+                break
+            rule[lang].append(t)
+    assert any(rule.values())
+    for r in out:
+        lang = "en" if r.doc_id % 2 else "fr"
+        assert r.kept == (not r.base_failed and not any(table[r.doc_id][m] > c for m, c in (steps[j] for j in rule[lang]))), r
+
+
+def test_the_joint_false_rejection_stays_under_alpha(spark):
+    """Many strata at once, each a holdout drawn anew: the rule's true joint rate passes alpha in few of them."""
+    strata, n, alpha = [f"s{i}" for i in range(150)], 300, 0.05
+    spec = R.RiskSpec(alpha=alpha, delta=0.1 * len(strata), strata=tuple(strata))
+    # independent exponential measures of good rows, so the joint rate of cutoffs is known
+    names, scale = sorted(R.GRIDS), 0.12
+    rng = random.Random(9)
+    rows = [(s, 1, *(rng.expovariate(1 / scale) for _ in names)) for s in strata for _ in range(n)]
+    rows += [(s, 0, *(rng.random() for _ in names)) for s in strata for _ in range(150)]
+    holdout = spark.createDataFrame(rows, "stratum string, quality int, " + ", ".join(f"{m} double" for m in names))
+    cutoffs = {}
+    for s, m, c in R.choose_cutoffs(holdout, spec):
+        cutoffs.setdefault(s, {})[m] = c
+    rate = [1 - math.prod(1 - math.exp(-c / scale) for c in cutoffs.get(s, {}).values()) for s in strata]
+    assert sum(bool(c) for c in cutoffs.values()) > 100
+    assert sum(r > alpha for r in rate) <= 0.1 * len(strata) + 10  # three standard deviations more
+
+
 def test_junk_goes_and_clean_text_stays(spark):
     rng = random.Random(2)
     docs, labels = [], []
