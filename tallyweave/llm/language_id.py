@@ -1,8 +1,9 @@
 """Language identification: sparse multinomial logistic regression on TF-IDF character n-grams.
 
 Document frequencies of the hashed 1- to 3-grams are counted over all learning rows. The model is
-trained by follow-the-regularised-leader with an elastic net on at most ``fit_rows`` of them, drawn by
-a hash of the id and spread over the languages, and a temperature is then fitted on rows that the
+trained by follow-the-regularised-leader with an elastic net on at most ``fit_rows`` of them (and
+``fit_terms`` distinct n-grams of rows in all), drawn by a hash of the id and spread over the languages,
+each with all its n-grams, and a temperature is then fitted on rows that the
 weights never saw. The weights go to the executors as one array of fixed size.
 
 The term frequency of an n-gram is its share of the text's n-grams, so the scores of a text are the
@@ -21,7 +22,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import crc_mod, read_table
@@ -34,10 +35,11 @@ BLOCK = 1 << 16
 @dataclass(frozen=True)
 class LanguageSpec:
     bits: int = 16
+    #: The fitting sample ends, in the order of the ids' hashes, at so many rows or distinct n-grams in all.
     fit_rows: int = 3000
-    #: Distinct n-grams of a fitting row that are kept, the most frequent ones; bounds what the driver gets.
-    fit_terms: int = 2048
-    max_languages: int = 256
+    fit_terms: int = 1 << 23
+    #: More languages than this are an error, since each takes a column of the broadcast weights.
+    max_languages: int = 1024
     epochs: int = 6
     alpha: float = 0.5
     beta: float = 1.0
@@ -142,8 +144,10 @@ def fit_temperature(scores: np.ndarray, y: np.ndarray) -> float:
 def train(docs: DataFrame, spec: LanguageSpec = LanguageSpec()) -> LanguageModel:
     """``docs``: doc_id, text and lang of the rows that may be learned from."""
     docs = docs.where(F.col("text").isNotNull() & F.col("lang").isNotNull() & (F.length("text") > 0))
-    counts = docs.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(spec.max_languages).collect()
-    languages = sorted(r["lang"] for r in counts)
+    counts = docs.groupBy("lang").count().orderBy("lang").limit(spec.max_languages + 1).collect()
+    if len(counts) > spec.max_languages:
+        raise ValueError(f"more than {spec.max_languages} languages; raise max_languages")
+    languages = [r["lang"] for r in counts]
     if not languages:
         return LanguageModel([], np.zeros((1, 0), np.float32), np.zeros(0), 1.0, spec.bits)
     df, n = document_frequencies(docs.select("text"), spec.bits)
@@ -167,37 +171,35 @@ def train(docs: DataFrame, spec: LanguageSpec = LanguageSpec()) -> LanguageModel
 
 
 def fit_sample(docs: DataFrame, counts: dict[str, int], spec: LanguageSpec) -> list[tuple[str, int, list[int], list[float]]]:
-    """At most about ``fit_rows`` rows, spread evenly over the languages by a threshold on a hash of
-    the id and cut exactly on the driver; (language, hash, buckets, shares) by hash."""
+    """At most ``fit_rows`` rows, spread evenly over the languages by a threshold on a hash of the id and
+    cut in the order of the hashes; (language, hash, buckets, shares) by hash."""
     each = max(1, spec.fit_rows // len(counts))
     size = 1 << 30
     h = F.pmod(F.xxhash64(F.col("doc_id"), F.lit(11)), F.lit(size))
     keep = F.lit(False)
     for lang, n in counts.items():
         keep = keep | ((F.col("lang") == lang) & (h < int(min(1.0, 1.2 * each / n) * size)))
-    bits, terms = spec.bits, spec.fit_terms
+    bits = spec.bits
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             idxs, tfs = [], []
             for text in batch.column(2).to_pylist():
                 idx, tf = text_terms(text, bits)
-                if len(idx) > terms:
-                    top = np.sort(np.argpartition(-tf, terms)[:terms])
-                    idx, tf = idx[top], tf[top]
                 idxs.append(idx.astype(np.int32))
                 tfs.append(tf.astype(np.float32))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(idxs, pa.list_(pa.int32())), pa.array(tfs, pa.list_(pa.float32()))], names=["lang", "h", "idx", "tf"])
 
-    picked = docs.where(keep).select("lang", h.alias("h"), "text").mapInArrow(run, "lang string, h long, idx array<int>, tf array<float>").toArrow()
-    order = np.argsort(picked["h"].to_numpy(), kind="stable")
-    langs, hs, left, out = picked["lang"].to_pylist(), picked["h"].to_numpy(), dict.fromkeys(counts, each), []
-    idx, tf = picked["idx"].combine_chunks(), picked["tf"].combine_chunks()
-    for i in order:
-        if left[langs[i]]:
-            left[langs[i]] -= 1
-            out.append((langs[i], int(hs[i]), idx[int(i)].values.to_numpy(), tf[int(i)].values.to_numpy()))
-    return out
+    picked = docs.where(keep).select("lang", h.alias("h"), "text").mapInArrow(run, "lang string, h long, idx array<int>, tf array<float>")
+    # windows over the sample alone, whose rows are bounded
+    by = Window.partitionBy("lang").orderBy("h")
+    ranked = picked.select("*", F.row_number().over(by).alias("r"), F.sum(F.size("idx")).over(by).alias("terms"))
+    few = max(1, spec.fit_terms // len(counts))
+    table = ranked.where((F.col("r") <= each) & ((F.col("terms") <= few) | (F.col("r") == 1))).select("lang", "h", "idx", "tf").toArrow()
+    langs, hs = table["lang"].to_pylist(), table["h"].to_numpy()
+    idx, tf = table["idx"].combine_chunks(), table["tf"].combine_chunks()
+    order = sorted(range(len(langs)), key=lambda i: (int(hs[i]), langs[i]))
+    return [(langs[i], int(hs[i]), idx[i].values.to_numpy(), tf[i].values.to_numpy()) for i in order]
 
 
 def predict(docs: DataFrame, model: LanguageModel, keep: tuple[str | Column, ...] = ("doc_id",)) -> DataFrame:
