@@ -5,8 +5,10 @@ hashed words and word beginnings; the document's is the noisy-or of its sentence
 trained from document labels alone, with a sparsity penalty, and then locate the offending
 sentences in any text. Scores out of fold fix the decision scale.
 
-Features and weights are learned on about ``fit_rows`` labelled rows, drawn by a hash of the id. What
-is broadcast is their ids, then one weight for each kept feature, at most ``max_features``.
+Features and weights are learned on about ``fit_rows`` labelled rows, drawn by a hash of the id; the
+sample ends in the order of the hashes at ``fit_pairs`` pairs of a sentence and a kept feature, and every
+row in it has all its sentences. What is broadcast is the ids of the sample, then one weight for each kept
+feature, of which there are at most 2 ** ``bits``.
 
 Defined cases: null and empty texts have no sentence and get the score of an empty bag; without
 any toxic label every score is that of an empty bag; repeated rows are scored each on its own; an
@@ -37,9 +39,7 @@ FLOOR = 0.01
 class ToxicSpec:
     bits: int = 22
     fit_rows: int = 12000
-    max_features: int = 1 << 17
-    #: Distinct features of a fitting row that are sent to the driver, by how telling they are.
-    row_features: int = 512
+    fit_pairs: int = 1 << 23
     epochs: int = 400
     l1: float = 0.05
     pull: float = 0.5
@@ -155,7 +155,7 @@ def train(docs: DataFrame, labels: DataFrame, spec: ToxicSpec = ToxicSpec(), lab
     neg = n - pos
     ratio = pos * F.log(pos / (n * rate)) + F.when(neg > 0, neg * F.log(neg / (n * (1 - rate)))).otherwise(0.0)
     telling = counts.where((pos >= 3) & (pos > n * rate)).withColumn("e", ratio).where(F.col("e") > float(np.log(max(many, 2))))
-    kept = telling.orderBy(F.desc("e"), "feature").limit(spec.max_features).toArrow()
+    kept = telling.orderBy("feature").toArrow()
     index = kept["feature"].to_numpy()
     if not len(index):
         return blank
@@ -165,64 +165,82 @@ def train(docs: DataFrame, labels: DataFrame, spec: ToxicSpec = ToxicSpec(), lab
     rank = np.full(1 << spec.bits, -1, np.int32)
     rank[index] = np.arange(len(index))
     held = docs.sparkSession.sparkContext.broadcast(rank)
-    bits, most = spec.bits, spec.row_features
+    bits = spec.bits
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at = held.value
         for batch in batches:
             sent, feat = [], []
             for text in batch.column(2).to_pylist():
-                pairs = [(int(at[f]), i) for i, bag in enumerate(_bags(text, bits)) for f in bag if at[f] >= 0]
-                pairs = sorted(pairs)[:most]  # the most telling features come first
-                sent.append([i for _, i in pairs])
-                feat.append([f for f, _ in pairs])
+                pairs = [(i, int(at[f])) for i, bag in enumerate(_bags(text, bits)) for f in bag if at[f] >= 0]
+                sent.append([i for i, _ in pairs])
+                feat.append([f for _, f in pairs])
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sent, pa.list_(pa.int32())), pa.array(feat, pa.list_(pa.int32()))], names=["h", "y", "s", "f"])
 
-    table = rows.mapInArrow(run, "h long, y int, s array<int>, f array<int>").toArrow()
-    order = np.argsort(table["h"].to_numpy(), kind="stable")
+    found = cut(rows.mapInArrow(run, "h long, y int, s array<int>, f array<int>"))
+    table = _within(found, spec.fit_pairs).toArrow()
+    order = np.lexsort((table["y"].to_numpy(), table["h"].to_numpy()))
     y = table["y"].to_numpy()[order].astype(float)
-    s, f = table["s"].to_pylist(), table["f"].to_pylist()
-    bags = [(s[i], f[i]) for i in order]
+    s, f = table["s"].combine_chunks(), table["f"].combine_chunks()
+    bags = [(s[int(i)].values.to_numpy(), f[int(i)].values.to_numpy()) for i in order]
     weights = fit_noisy_or(bags, y, prior_w, spec)
     slope, shift = calibrate(bags, y, prior_w, spec)
     return ToxicModel({int(index[i]): float(weights[i]) for i in np.flatnonzero(weights > 1e-3)}, spec.bias, slope, shift, spec.bits)
 
 
-Bag = tuple[list[int], list[int]]  # sentence and feature of each pair
+def _within(found: DataFrame, most: int) -> DataFrame:
+    """The rows of ``found`` (h, f) that come before a limit on all their pairs, in the order of ``h``.
+
+    The pairs are summed by 4,096 equal ranges of the hash, so nothing is sorted in one place.
+    """
+    slot = F.col("h").bitwiseAND((1 << 30) - 1) % 4096
+    total, stop = 0, 4096
+    for r in found.groupBy(slot.alias("slot")).agg(F.sum(F.size("f")).alias("n")).orderBy("slot").collect():
+        total += r["n"]
+        if total > most:
+            stop = max(1, r["slot"])
+            break
+    return found.where(slot < stop)
+
+
+Bag = tuple[np.ndarray, np.ndarray]  # sentence and feature of each pair, by sentence
 
 
 def _flat(bags: list[Bag]) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
     """Document of each sentence, sentence and feature of each pair, number of sentences."""
-    doc, sent, feat = [], [], []
-    for i, (s, f) in enumerate(bags):
-        names: dict[int, int] = {}
-        for a, b in zip(s, f, strict=True):
-            if a not in names:
-                names[a] = len(doc)
-                doc.append(i)
-            sent.append(names[a])
-            feat.append(b)
-    return np.array(doc, np.int64), np.array(sent, np.int64), np.array(feat, np.int64), len(doc)
+    none = np.zeros(0, np.int64)
+    row = np.repeat(np.arange(len(bags)), [len(s) for s, _ in bags])
+    sent, feat = (np.concatenate([none, *(b[i] for b in bags)]).astype(np.int64) for i in range(2))
+    if not len(row):
+        return none, none, none, 0
+    new = np.concatenate(([True], (row[1:] != row[:-1]) | (sent[1:] != sent[:-1])))
+    return row[new], np.cumsum(new) - 1, feat, int(new.sum())
 
 
 def fit_noisy_or(bags: list[Bag], y: np.ndarray, prior: np.ndarray, spec: ToxicSpec) -> np.ndarray:
     """Proximal Adagrad on the noisy-or likelihood; weights stay non-negative and are drawn to ``prior``,
     the bound below each feature's log ratio, so a word that others explain away keeps its weight."""
-    doc, sent, feat, many = _flat(bags)
-    n, k, w, g2 = len(y), len(prior), prior.copy(), np.full(len(prior), 1e-8)
+    flat = _flat(bags)
+    w, g2 = prior.copy(), np.full(len(prior), 1e-8)
     for _ in range(spec.epochs):
-        z = spec.bias + np.bincount(sent, weights=w[feat], minlength=many)
-        p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
-        none = np.bincount(doc, weights=np.logaddexp(0.0, z), minlength=n) + FLOOR
-        # d loss / d none of -y log(1 - e^-none) + (1 - y) none
-        d = np.where(y > 0, -1 / np.maximum(np.expm1(np.minimum(none, 50.0)), 1e-9), 1.0) / n
-        g = np.bincount(feat, weights=(d[doc] * p)[sent], minlength=k)
-        g += spec.pull * (w - prior) / n
+        g = gradient(flat, y, w, prior, spec)
         g2 += g * g
-        w = np.maximum(0.0, w - spec.rate / np.sqrt(g2) * (g + spec.l1 / n))
+        w = np.maximum(0.0, w - spec.rate / np.sqrt(g2) * (g + spec.l1 / len(y)))
     return w
 
 
+def gradient(flat: tuple[np.ndarray, np.ndarray, np.ndarray, int], y: np.ndarray, w: np.ndarray, prior: np.ndarray, spec: ToxicSpec) -> np.ndarray:
+    """Of the mean noisy-or log-loss and of the pull to the prior."""
+    doc, sent, feat, many = flat
+    n = len(y)
+    z = spec.bias + np.bincount(sent, weights=w[feat], minlength=many)
+    p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+    none = np.bincount(doc, weights=np.logaddexp(0.0, z), minlength=n) + FLOOR
+    # d loss / d none of -y log(1 - e^-none) + (1 - y) none
+    d = np.where(y > 0, -1 / np.maximum(np.expm1(np.minimum(none, 50.0)), 1e-9), 1.0) / n
+    return np.bincount(feat, weights=(d[doc] * p)[sent], minlength=len(w)) + spec.pull * (w - prior) / n
+
+
 def calibrate(bags: list[Bag], y: np.ndarray, prior: np.ndarray, spec: ToxicSpec, folds: int = 4) -> tuple[float, float]:
     """Slope and shift of a logistic fit of the labels on log-odds that were scored out of fold."""
     at, x = np.arange(len(y)) % folds, np.zeros(len(y))
