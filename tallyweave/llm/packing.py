@@ -1,13 +1,15 @@
 """Packing into fixed-length training sequences: vector bin packing by the dot-product heuristic.
 
-An example takes tokens, one segment and loss-bearing tokens; a sequence has a limit on each. Into
+An example takes tokens, one segment and loss-bearing tokens; a sequence has a limit on each. The
+loss-bearing tokens come from a column of the caller (instruction data: those of the answers); without
+one they are all but the first, which nothing predicts. Into
 the open sequence goes, among the examples that fit, the one whose demand has the largest dot product
 with what is left, both as shares of the limits. When nothing fits, an example is cut at the free
 space (if ``splittable``), so sequences fill exactly. Whole sequences are cut off long examples first.
 
 Each task packs what it reads: a window of ``window`` examples at a time, nothing is shuffled, and a
 task that is run again makes the same pieces. What a task has left at its end goes into sequences of
-lengths that are powers of two, which need no padding.
+lengths that are powers of two, which need no padding and keep the same three limits.
 
 Token ids are those of the ``tokenizers`` library for the vocabulary file; texts of plain Latin
 script without special-token strings are encoded by the equivalent rank file with tiktoken, which
@@ -38,7 +40,7 @@ from .common import bounded_batches, read_table
 @dataclass(frozen=True)
 class PackSpec:
     max_tokens: int = 2048
-    max_segments: int = 256
+    max_segments: int = 64
     max_loss: int = 2048
     window: int = 1024
     splittable: bool = True
@@ -123,19 +125,32 @@ class Packer:
         self.first += 1
 
     def _powers(self, items: list[Item], total: int) -> Iterator[tuple[object, int, int, int, int]]:
-        """The last sequence, cut into sequences whose lengths are the powers of two in ``total``."""
+        """The last examples, cut into sequences whose lengths are powers of two: each time the largest
+        that the tokens left fill without passing the limits on segments and loss."""
         queue = list(reversed(items))
-        for bit in reversed(range(total.bit_length())):
-            if total >> bit & 1:
-                room, part = 1 << bit, []
-                while room:
-                    x = queue.pop()
-                    n = min(room, x.length)
-                    part.append(Item(x.key, x.start, n, 0))
-                    if n < x.length:
-                        queue.append(Item(x.key, x.start + n, x.length - n, 0))
-                    room -= n
-                yield from self._close(part)
+        while total:
+            room = 1 << (total.bit_length() - 1)
+            while True:
+                part, rest = _taken(queue, room)
+                if room == 1 or len(part) <= self.spec.max_segments and sum(x.loss for x in part) <= self.spec.max_loss:
+                    break
+                room //= 2
+            queue, total = rest, total - room
+            yield from self._close(part)
+
+
+def _taken(queue: list[Item], room: int) -> tuple[list[Item], list[Item]]:
+    """The first ``room`` tokens of a queue (its first example is last), and what is left of it."""
+    part, rest = [], list(queue)
+    while room:
+        x = rest.pop()
+        n = min(room, x.length)
+        loss = -(-x.loss * n // x.length)
+        part.append(Item(x.key, x.start, n, loss))
+        if n < x.length:
+            rest.append(Item(x.key, x.start + n, x.length - n, x.loss - loss))
+        room -= n
+    return part, rest
 
 
 #: Characters outside printable ASCII, tab, line ends and Latin letters: such texts take the slow path.
@@ -173,8 +188,12 @@ def encoder(vocabulary: str, ranks: str | None = None, pattern: str | None = Non
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
-def pack(docs: DataFrame, vocabulary: str, ranks: str | None = None, pattern: str | None = None, end_id: int = 1, spec: PackSpec = PackSpec(), text: str = "text") -> DataFrame:
-    """One row per piece of each document's ids: where it lies in the document and in its sequence."""
+def pack(docs: DataFrame, vocabulary: str, ranks: str | None = None, pattern: str | None = None, end_id: int = 1, spec: PackSpec = PackSpec(), text: str = "text", loss: str | None = None) -> DataFrame:
+    """One row per piece of each document's ids: where it lies in the document and in its sequence.
+
+    ``loss``: column with the number of loss-bearing ids of each example; null counts as none, and more
+    than the example has as all of them.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(vocabulary, ranks, pattern)
@@ -187,9 +206,9 @@ def pack(docs: DataFrame, vocabulary: str, ranks: str | None = None, pattern: st
 
         for batch in batches:
             done = []
-            for doc_id, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for doc_id, t, bearing in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
                 ids = np.array([*encode(t or ""), end_id], "<u4")
-                done += packer.add((doc_id, ids), len(ids))
+                done += packer.add((doc_id, ids), len(ids), len(ids) - 1 if loss is None else min(max(bearing or 0, 0), len(ids)))
                 if len(done) >= 20_000:
                     yield rows(done)
                     done = []
@@ -199,7 +218,8 @@ def pack(docs: DataFrame, vocabulary: str, ranks: str | None = None, pattern: st
             yield rows(done)
 
     bounded_batches(docs.sparkSession)
-    return docs.select(F.col("doc_id").cast("long"), F.col(text).alias("text")).mapInArrow(run, SCHEMA)
+    bearing = F.lit(None) if loss is None else F.col(loss)
+    return docs.select(F.col("doc_id").cast("long"), F.col(text).alias("text"), bearing.cast("long").alias("loss")).mapInArrow(run, SCHEMA)
 
 
 def default_files() -> tuple[str, str, str]:

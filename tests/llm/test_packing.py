@@ -86,3 +86,20 @@ def test_whole_examples_when_they_may_not_be_cut():
 
 def test_empty_table(spark):
     assert K.pack(odd_docs(spark, []), *K.default_files()).collect() == []
+
+
+def test_a_column_of_loss_bearing_tokens_binds(spark):
+    """Half of each example bears loss, so a sequence of 64 tokens at a limit of 20 holds about 40; segments bind too."""
+    rows = [(i, "word " * (3 + i % 9), 2 + i % 5) for i in range(300)] + [(900, None, None), (901, "a b", 99)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, answer long")
+    out = K.pack(docs, *K.default_files(), spec=K.PackSpec(max_tokens=64, max_segments=5, max_loss=20, window=32), loss="answer").collect()
+    check(out, 64)
+    bears = {r.doc_id: (min(dict((i, a or 0) for i, _, a in rows)[r.doc_id], r.doc_tokens), r.doc_tokens) for r in out}
+    bins = defaultdict(list)
+    for r in out:
+        bins[r.sequence_id].append(r)
+    lost = [sum(bears[r.doc_id][0] * r.length / bears[r.doc_id][1] for r in b) for b in bins.values()]
+    assert max(lost) <= 20 + 5 and max(len(b) for b in bins.values()) == 5
+    assert sum(x > 15 for x in lost) > 10  # the limit binds
+    free = K.pack(docs, *K.default_files(), spec=K.PackSpec(max_tokens=64, max_segments=5, window=32)).collect()
+    assert len({r.sequence_id for r in free}) < len(bins)
