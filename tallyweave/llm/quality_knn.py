@@ -1,15 +1,16 @@
 """Quality classifier: similarity-weighted voting of the nearest labelled documents.
 
-A text is its TF-IDF vector over 4096 pairs of neighbouring byte classes (letters, capitals, digits,
-punctuation, ...) and of words that repeat at once, counted over the whole text. A truncated SVD of at most ``fit_rows`` labelled
-vectors gives the latent space; the labelled vectors in it are broadcast (``fit_rows`` x ``dims``
-floats), and every document gets its exact cosine products with all of them, block by block. The
-``k`` nearest vote with their similarity as weight.
+A text is its TF-IDF vector over hashed words and pairs of words that follow one another, and over pairs
+of neighbouring byte classes (letters, capitals, digits, punctuation, ...), counted over the whole text,
+block by block. A truncated SVD of at most ``fit_rows`` labelled vectors gives the latent semantic space;
+the labelled vectors in it are broadcast (``fit_rows`` x ``dims`` floats), and every document gets its
+exact cosine products with all of them, block by block. The ``k`` nearest vote with their similarity as
+weight.
 
 The inverse document frequencies are counted over all documents; the labelled rows are drawn by a
 hash of the id, by label, and reweighted so that each label keeps its share of the votes.
 
-Defined cases: null and empty texts have no pairs and get the share of good labels as score; without
+Defined cases: null and empty texts have no terms and get the share of good labels as score; without
 any label every score is that prior of one half; repeated rows are scored each on its own; an empty
 table gives an empty result; other columns are carried only by ``attach``.
 """
@@ -25,9 +26,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import bounded_batches, crc_mod, read_table
+from .near_dups import _BYTES, _powers, mix
 
 CLASSES = 64
 PAIRS = CLASSES * CLASSES
+#: Buckets of hashed words and word pairs, after those of the byte classes.
+TERMS = 1 << 12
+SIZE = PAIRS + TERMS
+#: Bytes of a text that are counted at a time.
+BLOCK = 1 << 18
 
 
 def _byte_classes() -> np.ndarray:
@@ -44,6 +51,9 @@ def _byte_classes() -> np.ndarray:
 
 
 BYTE_CLASS = _byte_classes()
+#: Letters A to Z as small ones, white space as the blank.
+LOWER = np.array([c + 32 if 65 <= c <= 90 else 32 if 9 <= c <= 13 else c for c in range(256)], np.uint8)
+TERM_SHIFT = np.uint64(64 - 12)
 #: The pair of two stray control bytes also counts the characters of words that repeat the word before.
 REPEATED = PAIRS - 1
 
@@ -51,15 +61,17 @@ REPEATED = PAIRS - 1
 @dataclass(frozen=True)
 class QualitySpec:
     fit_rows: int = 3000
-    dims: int = 48
-    k: int = 9
+    #: Share of the squared length of a vector that words and word pairs have.
+    words: float = 0.25
+    dims: int = 24
+    k: int = 5
     block: int = 512
 
 
 @dataclass
 class QualityModel:
-    idf: np.ndarray
-    basis: np.ndarray  # [pair, dim]
+    idf: np.ndarray  # with the weight of each kind of term in it
+    basis: np.ndarray  # [term, dim]
     vectors: np.ndarray  # labelled unit vectors [row, dim]
     labels: np.ndarray
     weights: np.ndarray
@@ -82,19 +94,52 @@ class QualityModel:
         return np.clip(out, 0.0, 1.0)
 
 
-def pair_counts(text: str | None) -> np.ndarray:
-    if not text:
-        return np.zeros(PAIRS, np.int32)
-    c = BYTE_CLASS[np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)]
-    counts = np.bincount(c[:-1] * CLASSES + c[1:], minlength=PAIRS).astype(np.int32)
-    words = text.split()
-    counts[REPEATED] += sum(len(a) + 1 for a, b in zip(words, words[1:], strict=False) if a == b)
-    return counts
+def _blocks(data: bytes) -> Iterator[bytes]:
+    """Stretches of about ``BLOCK`` bytes that end between words, or anywhere in a longer word."""
+    at = 0
+    while at < len(data):
+        end = min(at + BLOCK, len(data))
+        if end < len(data):
+            end = max(data.rfind(b" ", at + 1, end), data.rfind(b"\n", at + 1, end)) + 1 or end
+        yield data[at:end]
+        at = end
+
+
+def term_counts(text: str | None) -> np.ndarray:
+    """Counts of the text's byte-class pairs, doubled words, words and word pairs."""
+    counts = np.zeros(SIZE, np.int64)
+    before, last = -1, np.zeros(0, np.uint64)
+    for part in _blocks(text.encode("utf-8", "surrogatepass") if text else b""):
+        data = np.frombuffer(part, np.uint8)
+        c = BYTE_CLASS[data]
+        counts[:PAIRS] += np.bincount(c[:-1] * CLASSES + c[1:], minlength=PAIRS)
+        if before >= 0:
+            counts[before * CLASSES + c[0]] += 1
+        before = int(c[-1])
+        low = LOWER[data]
+        inside = np.concatenate(([False], low != 32, [False]))
+        edge = np.flatnonzero(inside[1:] != inside[:-1])
+        start, end = edge[::2], edge[1::2]
+        if not len(start):
+            continue
+        up, down = _powers(len(low) + 1)
+        total = np.zeros(len(low) + 1, np.uint64)
+        np.cumsum(_BYTES[low] * up[:-1], dtype=np.uint64, out=total[1:])
+        h = mix((total[end] - total[start]) * down[start])
+        counts[PAIRS:] += np.bincount((h >> TERM_SHIFT).astype(np.int64), minlength=TERMS)
+        h, width = np.concatenate((last, h)), np.concatenate((np.zeros(len(last), np.int64), end - start))
+        counts[PAIRS:] += np.bincount((mix(h[:-1] * np.uint64(3) + h[1:]) >> TERM_SHIFT).astype(np.int64), minlength=TERMS)
+        counts[REPEATED] += int((width[1:] + 1)[h[1:] == h[:-1]].sum())
+        last = h[-1:]
+    return counts.astype(np.int32)
 
 
 def tf_idf(counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
-    total = np.maximum(counts.sum(1, keepdims=True), 1).astype(np.float32)
-    return np.sqrt(counts / total, dtype=np.float32) * idf
+    out = np.empty(counts.shape, np.float32)
+    for part in (slice(0, PAIRS), slice(PAIRS, SIZE)):
+        total = np.maximum(counts[:, part].sum(1, keepdims=True), 1).astype(np.float32)
+        out[:, part] = np.sqrt(counts[:, part] / total, dtype=np.float32) * idf[part]
+    return out
 
 
 def unit(x: np.ndarray) -> np.ndarray:
@@ -111,20 +156,20 @@ def principal(x: np.ndarray, dims: int, rounds: int = 8) -> np.ndarray:
 
 
 def document_frequencies(texts: DataFrame) -> tuple[np.ndarray, int]:
-    """How many of all texts hold each pair; one row of fixed length from each task."""
+    """How many of all texts hold each term; at most a row for each term from each task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        df, rows = np.zeros(PAIRS, np.int64), 0
+        df, rows = np.zeros(SIZE, np.int64), 0
         for batch in batches:
             for text in batch.column(0).to_pylist():
-                df += pair_counts(text) > 0
+                df += term_counts(text) > 0
                 rows += 1
         idx = df.nonzero()[0]
         yield pa.RecordBatch.from_pydict({"pair": pa.array(np.append(idx, -1), pa.int64()), "n": pa.array(np.append(df[idx], rows), pa.int64())})
 
     table = texts.mapInArrow(run, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).toArrow()
     pair, n = table["pair"].to_numpy(), table["n"].to_numpy()
-    df = np.zeros(PAIRS)
+    df = np.zeros(SIZE)
     df[pair[pair >= 0]] = n[pair >= 0]
     return df, int(n[pair < 0].sum())
 
@@ -135,10 +180,12 @@ def train(docs: DataFrame, labels: DataFrame, spec: QualitySpec = QualitySpec(),
     docs = docs.select("doc_id", "text")
     df, n = document_frequencies(docs.select("text"))
     idf = (np.log((1 + n) / (1 + df)) + 0.1).astype(np.float32)
+    idf[:PAIRS] *= np.sqrt(1 - spec.words)
+    idf[PAIRS:] *= np.sqrt(spec.words)
     known = labels.where(F.col("doc_id").isNotNull() & F.col(label).isin(0, 1)).groupBy("doc_id").agg(F.max(label).alias("y"))
     size, half = 1 << 30, spec.fit_rows // 2
     counts = {r["y"]: r["n"] for r in known.groupBy("y").agg(F.count("*").alias("n")).collect()}
-    empty = QualityModel(idf, np.zeros((PAIRS, 0), np.float32), np.zeros((0, 0), np.float32), np.zeros(0), np.zeros(0), 0.5, spec.k)
+    empty = QualityModel(idf, np.zeros((SIZE, 0), np.float32), np.zeros((0, 0), np.float32), np.zeros(0), np.zeros(0), 0.5, spec.k)
     if not counts:
         return empty
     h = F.pmod(F.xxhash64(F.col("doc_id"), F.lit(3)), F.lit(size))
@@ -149,7 +196,7 @@ def train(docs: DataFrame, labels: DataFrame, spec: QualitySpec = QualitySpec(),
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [pair_counts(t) for t in batch.column(2).to_pylist()]
+            rows = [term_counts(t) for t in batch.column(2).to_pylist()]
             idx = [r.nonzero()[0].astype(np.int16) for r in rows]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(idx, pa.list_(pa.int16())), pa.array([r[i] for r, i in zip(rows, idx, strict=True)], pa.list_(pa.int32()))], names=["h", "y", "i", "c"])
 
@@ -161,17 +208,18 @@ def train(docs: DataFrame, labels: DataFrame, spec: QualitySpec = QualitySpec(),
     order = np.concatenate([order[y == v][:half] for v in (0, 1)])
     y = rows["y"].to_numpy()[order].astype(float)
     idx, values = rows["i"].combine_chunks(), rows["c"].combine_chunks()
-    c = np.zeros((len(order), PAIRS), np.float32)
+    x = np.zeros((len(order), SIZE), np.float32)
     for at, i in enumerate(order.tolist()):
-        c[at, idx[i].values.to_numpy()] = values[i].values.to_numpy()
-    full = c.sum(1) > 0
-    c, y = c[full], y[full]
+        row = np.zeros((1, SIZE), np.int32)
+        row[0, idx[i].values.to_numpy()] = values[i].values.to_numpy()
+        x[at] = unit(tf_idf(row, idf))[0]
+    full = np.abs(x).sum(1) > 0
+    x, y = x[full], y[full]
     total = sum(counts.values())
     weights = np.array([counts.get(int(v), 0) / total / max(1, (y == v).sum()) for v in y])
     prior = counts.get(1, 0) / total
     if not len(y):
         return QualityModel(idf, empty.basis, empty.vectors, y, y, prior, spec.k)
-    x = unit(tf_idf(c, idf))
     basis = principal(x, min(spec.dims, len(y)))
     return QualityModel(idf, basis, unit(x @ basis), y, weights * len(y), prior, spec.k)
 
@@ -186,7 +234,7 @@ def attach(docs: DataFrame, model: QualityModel, spec: QualitySpec = QualitySpec
         for batch in batches:
             texts, scores = batch.column(place), []
             for at in range(0, len(texts), spec.block):
-                scores.append(m.score(np.array([pair_counts(t) for t in texts.slice(at, spec.block).to_pylist()])))
+                scores.append(m.score(np.array([term_counts(t) for t in texts.slice(at, spec.block).to_pylist()])))
             column = pa.array(np.concatenate(scores) if scores else np.zeros(0), pa.float64())
             yield pa.RecordBatch.from_arrays([*batch.columns, column], names=[*batch.schema.names, score])
 
