@@ -1,17 +1,20 @@
 """Personal data by weak supervision.
 
 Wide patterns give candidate spans; five labelers (shape, gazetteer, context, boundary, variety) each
-vote yes, no or nothing on a candidate. Expectation-maximisation over the counts of vote patterns
-estimates how reliable each labeler is for each kind, and a logistic span classifier is trained on the
-resulting soft labels. Spans of the base patterns always stay; the classifier adds further ones that
-overlap no base span.
+vote yes, no or nothing on a candidate. Expectation-maximisation over the counts of vote patterns of all
+candidates estimates how reliable each labeler is for each kind, which gives every pattern a chance of
+being personal data. With these as soft labels a logistic span classifier is trained that does not see
+the votes but the span and its neighbourhood: its shape, length, digits and variety, the words before and
+after it and the signs at its edges. Spans of the base patterns always stay; the classifier adds further
+ones that overlap no base span.
 
-Both passes read each text once and join nothing: the first sends only counts by vote pattern (at
-most a few thousand codes, whatever the input) to the driver, the second finds and decides.
+The first pass sends only counts by vote pattern (at most a few thousand codes, whatever the input) to
+the driver, the second a sample of at most ``FIT_SPANS`` candidates, spread evenly over the kinds by a
+hash, and the third finds and decides. Nothing is joined.
 
 Defined cases: null text is empty; documents without spans give zero counts and the hash of the empty
-text; repeated rows are scored each on its own; without any candidate the labelers' prior
-reliabilities hold; an empty table gives an empty result; other columns are carried only by ``mask``.
+text; repeated rows are scored each on its own; without any candidate the
+classifier accepts nothing; an empty table gives an empty result; other columns are carried only by ``mask``.
 """
 
 from __future__ import annotations
@@ -20,6 +23,8 @@ import hashlib
 import re
 from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass, field
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -190,24 +195,60 @@ def estimate(kind: np.ndarray, vote: np.ndarray, n: np.ndarray, rounds: int = 50
     return post, table
 
 
-#: Total weight of the patterns in the regression, which sees their shares: the same fit at every size.
-WEIGHT = 1e6
+#: Candidates in the sample that the classifier is trained on.
+FIT_SPANS = 20_000
+#: Hashed features of spans.
+BUCKETS = 1 << 12
+_RUNS = [(re.compile("[0-9]+"), "0"), (re.compile("[a-z]+"), "a"), (re.compile("[A-Z]+"), "A")]
+_NEAR = re.compile(r"[^\W\d_]+")
 
 
-def train(codes: np.ndarray, n: np.ndarray, ridge: float = 1.0, rounds: int = 30) -> np.ndarray:
-    """Probability of each code by a logistic regression on the soft labels, by Newton steps."""
-    if not len(codes):
-        return np.zeros(0)
-    kind, vote, bucket = _features(codes)
-    post, _ = estimate(kind, vote, n.astype(float))
-    x = np.concatenate([np.eye(len(KINDS))[kind], *[np.eye(3)[vote[:, i]] for i in range(vote.shape[1])], np.eye(4)[bucket]], axis=1)
-    w, weight = np.zeros(x.shape[1]), n * (WEIGHT / n.sum())
+def span_features(text: str, kind: int, start: int, end: int) -> list[int]:
+    """Buckets of what a span and its neighbourhood look like, in order, each once."""
+    span, shape = text[start:end], text[start:end]
+    for pattern, sign in _RUNS:
+        shape = pattern.sub(sign, shape)
+    shape = f"^{shape}$"
+    digits = sum(c.isdigit() for c in span)
+    names = [f"gram {shape[i : i + 3]}" for i in range(len(shape) - 2)]
+    names += [f"length {min(len(span), 8191).bit_length()}", f"digits {min(digits, 40)}", f"share {4 * digits // len(span)}", f"variety {min(len(set(span)), 16)}"]
+    before, after = text[max(0, start - 48) : start], text[end : end + 24]
+    names += [f"before {w}" for w in _NEAR.findall(before.lower())[-3:]] + [f"after {w}" for w in _NEAR.findall(after.lower())[:1]]
+    names += [f"left {before[-1:].isalnum()} {before[-1:]}", f"right {after[:1].isalnum()} {after[:1]}", "any"]
+    return sorted({crc32(f"{KINDS[kind]} {x}".encode("utf-8", "surrogatepass")) % BUCKETS for x in names})
+
+
+@dataclass
+class SpanModel:
+    weights: np.ndarray = field(default_factory=lambda: np.zeros(BUCKETS))
+    bias: float = -1.0
+    threshold: float = 0.5
+
+    def chance(self, text: str, kind: int, start: int, end: int) -> float:
+        z = self.bias + self.weights[span_features(text, kind, start, end)].sum()
+        return float(1 / (1 + np.exp(-np.clip(z, -30, 30))))
+
+    def accepts(self, text: str, kind: int, start: int, end: int) -> bool:
+        return self.chance(text, kind, start, end) >= self.threshold
+
+
+def gradient(features: list[list[int]], soft: np.ndarray, w: np.ndarray, bias: float, ridge: float) -> tuple[np.ndarray, float]:
+    """Of the summed log-loss of soft labels with a ridge on the weights."""
+    row, col = np.repeat(np.arange(len(features)), [len(f) for f in features]), np.concatenate([np.zeros(0, np.int64), *features]).astype(np.int64)
+    p = 1 / (1 + np.exp(-np.clip(bias + np.bincount(row, weights=w[col], minlength=len(features)), -30, 30)))
+    return np.bincount(col, weights=(p - soft)[row], minlength=len(w)) + ridge * w, float((p - soft).sum())
+
+
+def train(features: list[list[int]], soft: np.ndarray, ridge: float = 0.1, rounds: int = 300, rate: float = 0.3) -> SpanModel:
+    """Logistic regression by Adagrad over the whole sample."""
+    if not len(features):
+        return SpanModel()
+    w, bias, g2, b2 = np.zeros(BUCKETS), 0.0, np.full(BUCKETS, 1e-8), 1e-8
     for _ in range(rounds):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        grad = x.T @ (weight * (p - post)) + ridge * w
-        hess = (x * (weight * p * (1 - p))[:, None]).T @ x + ridge * np.eye(len(w))
-        w -= np.linalg.solve(hess, grad)
-    return 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+        g, b = gradient(features, soft, w, bias, ridge)
+        g2, b2 = g2 + g * g, b2 + b * b
+        w, bias = w - rate * g / np.sqrt(g2), bias - rate * b / np.sqrt(b2)
+    return SpanModel(w, float(bias))
 
 
 def _count_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -221,35 +262,56 @@ def _count_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
     yield pa.RecordBatch.from_pydict({"code": pa.array(list(counts), pa.int64()), "n": pa.array(list(counts.values()), pa.int64())})
 
 
-def fit(docs: DataFrame, text: str = "text", threshold: float = 0.5) -> frozenset[int]:
-    """The codes of candidate spans that the trained classifier accepts."""
+def fit(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", fit_spans: int = FIT_SPANS) -> SpanModel:
+    """The classifier of candidate spans, trained on these documents."""
     bounded_batches(docs.sparkSession)
     counted = docs.select(F.col(text).alias("text")).mapInArrow(_count_batches, "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).orderBy("code")
     rows = counted.collect()  # at most kinds x 3^labelers x 4 codes
-    codes = np.array([r["code"] for r in rows], np.int64)
-    chance = train(codes, np.array([r["n"] for r in rows], np.int64))
-    return frozenset(int(c) for c in codes[chance >= threshold])
+    codes, n = np.array([r["code"] for r in rows], np.int64), np.array([r["n"] for r in rows], np.int64)
+    if not len(codes):
+        return SpanModel()
+    kind, vote, _ = _features(codes)
+    post, _ = estimate(kind, vote, n.astype(float))
+    chance = dict(zip(codes.tolist(), post.tolist(), strict=True))
+    each = max(1, fit_spans // len(np.unique(kind)))
+    limits = {int(k): min(1.0, 1.2 * each / n[kind == k].sum()) for k in np.unique(kind)}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: list[tuple[int, int, list[int]]] = []
+            for seed, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if t:
+                    base = base_spans(t)
+                    for k, s, e in [*base, *wide_spans(t, base)]:
+                        h = crc32(f"{seed} {k} {s}".encode())
+                        if h < limits[k] * 2**32:
+                            out.append((h, code_of(k, votes(t, k, s, e), e - s), span_features(t, k, s, e)))
+            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64()), pa.array([x[2] for x in out], pa.list_(pa.int32()))], names=["h", "code", "f"])
+
+    seeded = docs.select(F.xxhash64(F.col(doc_id).cast("string"), F.lit(17)).alias("seed"), F.col(text).alias("text"))
+    # rows that repeat share a hash, so the limit bounds what the driver gets
+    sample = seeded.mapInArrow(run, "h long, code long, f array<int>").orderBy("h", "code", "f").limit(2 * fit_spans).toArrow().to_pylist()
+    return train([x["f"] for x in sample], np.array([chance[x["code"]] for x in sample]))
 
 
-def decide(text: str, accepted: frozenset[int]) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
+def decide(text: str, model: SpanModel) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
     """Base spans, and all spans; both by kind, then start."""
     base = base_spans(text)
-    more = [x for x in wide_spans(text, base) if code_of(x[0], votes(text, *x), x[2] - x[1]) in accepted]
-    return base, sorted([*base, *more])
+    return base, sorted([*base, *(x for x in wide_spans(text, base) if model.accepts(text, *x))])
 
 
 def _joined(spans: list[tuple[int, int, int]]) -> str:
     return ",".join(f"{KINDS[k]}:{s}:{e}" for k, s, e in spans)
 
 
-def find_spans(docs: DataFrame, accepted: frozenset[int], text: str = "text") -> DataFrame:
+def find_spans(docs: DataFrame, model: SpanModel, text: str = "text") -> DataFrame:
     """doc_id, the counts of base spans, the hash of their list and all spans, one row per input row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             counts, hashes, spans = [], [], []
             for t in batch.column(1).to_pylist():
-                base, every = decide(t or "", accepted)
+                base, every = decide(t or "", model)
                 counts.append([sum(k == i for k, _, _ in base) for i in range(len(BASE))])
                 hashes.append(hashlib.sha256(_joined(base).encode()).hexdigest())
                 spans.append(_joined(every))
@@ -260,7 +322,7 @@ def find_spans(docs: DataFrame, accepted: frozenset[int], text: str = "text") ->
     return docs.select(F.col("doc_id").cast("long"), F.col(text).alias("text")).mapInArrow(run, schema)
 
 
-def mask(docs: DataFrame, accepted: frozenset[int], text: str = "text") -> DataFrame:
+def mask(docs: DataFrame, model: SpanModel, text: str = "text") -> DataFrame:
     """``docs`` with every span replaced by its kind in angle brackets; all columns and null texts stay."""
     schema, place = docs.schema, docs.columns.index(text)
 
@@ -270,7 +332,7 @@ def mask(docs: DataFrame, accepted: frozenset[int], text: str = "text") -> DataF
             for t in batch.column(place).to_pylist():
                 if t:
                     out, at = [], 0
-                    for s, e, k in sorted((s, e, k) for k, s, e in decide(t, accepted)[1]):
+                    for s, e, k in sorted((s, e, k) for k, s, e in decide(t, model)[1]):
                         if s >= at:
                             out += [t[at:s], f"<{KINDS[k]}>"]
                         at = max(at, e)

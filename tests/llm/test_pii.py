@@ -65,11 +65,30 @@ def test_the_model_adds_spans_with_support_and_not_others(spark):
     assert all(found[100 + i] == "" for i in range(40))
 
 
-def test_the_fit_sees_shares_at_any_size():
-    codes = np.array([pii.code_of(7, v, 40) for v in ((1, 0, 1, 1, 1), (-1, 0, 1, 1, 1), (-1, 0, -1, 1, 1), (1, 0, -1, -1, 0))])
-    n = np.array([400_000, 900_000, 700_000, 300_000])
-    odds = lambda p: np.log(p / (1 - p))
-    assert np.allclose(odds(pii.train(codes, n)), odds(pii.train(codes, 1000 * n)), atol=1e-3)
+def test_the_classifier_reads_spans_and_not_votes():
+    yes = [pii.span_features(f"call me at 555-010-{i:04d} now", 5, 11, 23) for i in range(20)]
+    no = [pii.span_features(f"version 555.010.{i:04d}, chapter", 5, 8, 20) for i in range(20)]
+    model = pii.train([*yes, *no], np.array([0.9] * 20 + [0.1] * 20))
+    assert model.accepts("call her at 555-010-7777 now", 5, 12, 24) and not model.accepts("version 555.010.7777, page", 5, 8, 20)
+    assert not pii.train([], np.zeros(0)).accepts("call her at 555-010-7777 now", 5, 12, 24)
+
+
+def test_gradient_of_the_classifier_by_differences():
+    rng = np.random.default_rng(4)
+    rows, soft = [sorted(set(rng.integers(0, 6, 3).tolist())) for _ in range(12)], rng.random(12)
+    w, bias = rng.normal(size=6), 0.3
+
+    def loss(w, bias):
+        z = np.array([bias + w[f].sum() for f in rows])
+        return (np.logaddexp(0, z) - soft * z).sum() + 0.1 / 2 * (w * w).sum()
+
+    g, b = pii.gradient(rows, soft, w, bias, 0.1)
+    step = 1e-6
+    for i in range(6):
+        up = w.copy()
+        up[i] += step
+        assert abs((loss(up, bias) - loss(w, bias)) / step - g[i]) < 1e-4
+    assert abs((loss(w, bias + step) - loss(w, bias)) / step - b) < 1e-4
 
 
 def test_long_secrets_are_whole(spark):
@@ -84,12 +103,12 @@ def test_long_secrets_are_whole(spark):
 
 def test_mask_keeps_columns_and_nulls(spark):
     rows = odd_docs(spark, [(1, "write a@b.co now"), (2, None), (3, "clean")])
-    done = pii.mask(rows, frozenset())
+    done = pii.mask(rows, pii.SpanModel())
     assert done.columns == rows.columns
     assert {r.doc_id: r.text for r in done.collect()} == {1: "write <email> now", 2: None, 3: "clean"}
 
 
 def test_empty_table(spark):
     rows = odd_docs(spark, [])
-    assert pii.fit(rows) == frozenset()
-    assert pii.find_spans(rows, frozenset()).collect() == []
+    assert not pii.fit(rows).weights.any()
+    assert pii.find_spans(rows, pii.SpanModel()).collect() == []
