@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 from collections.abc import Callable
 
@@ -32,13 +33,16 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: the cluster's own setting, or a temporary one in tests."""
+    """The folder that all executors share: the cluster's own setting. Where none is set, one machine may
+    use its own temporary folder; a cluster may not."""
     context = spark.sparkContext
     current = context._jsc.sc().getCheckpointDir()
     if current.isDefined():
         return current.get()
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
         folder = os.path.join(tempfile.gettempdir(), "tallyweave-checkpoints")
     context.setCheckpointDir(folder)
     return folder
