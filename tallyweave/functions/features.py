@@ -79,6 +79,13 @@ def cluster_scores(lines: DataFrame, cluster: str = "cluster") -> DataFrame:
     return mean.select(cluster, (plain * 0.6 + F.col("w") * 0.4).alias("score"), "n_lines")
 
 
+def best_cluster(lines: DataFrame) -> DataFrame:
+    """The ``lines`` (doc_id, cluster, text) of each document's cluster of the highest score, the first on ties."""
+    scored = cluster_scores(lines.withColumn("_c", F.struct("doc_id", "cluster")), "_c")
+    best = scored.groupBy(F.col("_c.doc_id").alias("doc_id")).agg(F.max(F.struct("score", (-F.col("_c.cluster")).alias("c"))).alias("b"))
+    return lines.join(best.select("doc_id", (-F.col("b.c")).alias("cluster")), ["doc_id", "cluster"], "left_semi")
+
+
 def layout_features(tokens: DataFrame, page_width: float = 612.0) -> DataFrame:
     """Features of each line (doc_id, page, line) from its tokens (text, x0, x1, size)."""
     t, all_ = F.col("text"), F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("x0", "text"))), lambda x: x["text"]), " ")

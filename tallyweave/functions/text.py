@@ -26,13 +26,24 @@ def strip_references(text: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(text, rules.LONG_DIGITS, " "), rules.PHONE, " ")
 
 
-def peel_trailing(text: Column, passes: int = 6) -> Column:
-    """Trailing digits, phone numbers and state codes, peeled until nothing changes (``passes`` at most)."""
-    for _ in range(passes):
-        text = F.regexp_replace(text, rules.TRAILING_DIGITS, "")
-        text = F.regexp_replace(text, rules.TRAILING_PHONE, "")
-        text = F.rtrim(F.regexp_replace(text, rules.TRAILING_STATE, ""))
-    return text
+def _peel_once(text: Column) -> Column:
+    text = F.regexp_replace(text, rules.TRAILING_DIGITS, "")
+    text = F.regexp_replace(text, rules.TRAILING_PHONE, "")
+    return F.rtrim(F.regexp_replace(text, rules.TRAILING_STATE, ""))
+
+
+def peel_trailing(text: Column) -> Column:
+    """Trailing digits, phone numbers and state codes, peeled until nothing changes.
+
+    A round that changes anything takes a word at least, so as many rounds as there are words reach the
+    end; texts that a second round leaves as they are, which is nearly all, take no more.
+    """
+
+    def rest(t: Column) -> Column:
+        every = F.aggregate(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(F.split(t, r"\s+")))), t, lambda s, _: _peel_once(s))
+        return F.when(_peel_once(t) == t, t).otherwise(every)
+
+    return let(_peel_once(text), rest)
 
 
 def split_state(text: Column) -> Column:

@@ -7,7 +7,6 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .. import rules
@@ -45,12 +44,30 @@ def categorise(rows: DataFrame, proposed: str | None = None) -> DataFrame:
     return found.withColumn("category", category).withColumn("source", source).drop("_t", "_junk", "_l", "_k")
 
 
-def keyword_join(rows: DataFrame, keywords: DataFrame) -> DataFrame:
-    """The same by a table of rules (category, cat_rank, keyword, kw_rank), broadcast: for rule sets too large for one CASE."""
-    cleaned = rows.withColumn("_t", text.for_categories(F.col("description")))
-    hit = cleaned.join(F.broadcast(keywords), F.contains(F.col("_t"), F.col("keyword")), "left")
-    w = W.partitionBy("doc_id", "seq").orderBy(F.col("cat_rank").asc_nulls_last(), "kw_rank")
-    return hit.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").select(*rows.columns, F.col("category").alias("keyword_category"))
+def _stretches(name: str, n: int) -> Column:
+    """All stretches of ``n`` characters of a column of at least as many."""
+    return F.transform(F.sequence(F.lit(1), F.length(name) - F.lit(n - 1)), lambda i: F.substring(F.col(name), i, F.lit(n)))
+
+
+def keyword_join(rows: DataFrame, keywords: DataFrame, gram: int = 3) -> DataFrame:
+    """``rows`` and keyword_category, by a table of rules (category, cat_rank, keyword, kw_rank) of any size.
+
+    Each distinct description is cleaned once and posted under its stretches of ``gram`` characters (and
+    under single ones, for shorter keywords); a keyword waits under its first stretch, so both meet in an
+    equal join, whose size Spark knows when it picks broadcast or shuffle. The best rule of a description is
+    an aggregate that combines before its shuffle. Null descriptions and null or empty keywords match
+    nothing.
+    """
+    said = rows.select(F.col("description").alias("_d")).where("_d is not null").distinct().withColumn("_t", text.for_categories(F.col("_d")))
+    size = F.length("keyword")
+    hits = None
+    for n, some in ((gram, size >= gram), (1, size.between(1, gram - 1))):
+        posted = said.where(F.length("_t") >= n).select("_d", "_t", F.explode(F.array_distinct(_stretches("_t", n))).alias("_g"))
+        found = posted.join(keywords.where(some).withColumn("_g", F.substring("keyword", 1, n)), "_g").where(F.contains("_t", "keyword"))
+        hits = found if hits is None else hits.unionByName(found)
+    order = F.struct(F.col("cat_rank").isNull(), "cat_rank", "kw_rank", "category")
+    best = hits.groupBy("_d").agg(F.min_by("category", order).alias("keyword_category"))
+    return rows.join(best, F.col("description") == F.col("_d"), "left").select(*[rows[c] for c in rows.columns], "keyword_category")
 
 
 def suspect(description: Column, category: Column) -> tuple[Column, Column]:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -62,6 +63,58 @@ def detect(pages: DataFrame, proposed: DataFrame | None = None) -> DataFrame:
     return d.select("doc_id", pick("bank", F.col("_c.bank"), F.lit("Unknown")).alias("bank"), pick("conf", combined, F.lit(0.0)).alias("confidence"), "stage")
 
 
+def proposed_banks(pages: DataFrame, client) -> DataFrame:
+    """doc_id, ai_bank and ai_confidence that an injected callable (text to {"bank", "confidence"}) answers.
+
+    Answers are checked: a bank that is not known, a confidence that is no number from 0 to 100, anything
+    that is no dictionary and any failure of the callable is no proposal. Null texts are not asked about.
+    """
+    known = {b.bank.lower(): b.bank for b in rules.BRANDS}
+
+    def run(frames):
+        for frame in frames:
+            found = []
+            for doc_id, text in zip(frame.doc_id, frame.text, strict=True):
+                try:
+                    said = client(text)
+                    bank, sure = known.get(str(said["bank"]).strip().lower()), float(said["confidence"])
+                except Exception:  # noqa: BLE001  the plugin is foreign code, and a proposal is optional
+                    continue
+                if bank and 0 <= sure <= 100:
+                    found.append((doc_id, bank, sure))
+            yield pd.DataFrame(found, columns=["doc_id", "ai_bank", "ai_confidence"])
+
+    asked = pages.where("text is not null").select("doc_id", "text")
+    return asked.mapInPandas(run, f"doc_id {dict(pages.dtypes)['doc_id']}, ai_bank string, ai_confidence double")
+
+
+def proposed_rows(pages: DataFrame, client) -> DataFrame:
+    """doc_id, page, date, description and amount (cents) of rows that an injected callable (text to a list
+    of {"date", "description", "amount"}, or one of them) finds on a page.
+
+    Rows without a date, a description or a number as amount are dropped, and so are repeated ones.
+    """
+
+    def run(frames):
+        for frame in frames:
+            found = []
+            for doc_id, page, text in zip(frame.doc_id, frame.page, frame.text, strict=True):
+                try:
+                    said = client(text)
+                except Exception:  # noqa: BLE001  see above
+                    continue
+                for r in said if isinstance(said, list) else [said]:
+                    if isinstance(r, dict) and r.get("date") and r.get("description"):
+                        amount = str(r.get("amount", "")).replace("$", "").replace(",", "").strip()
+                        found.append((doc_id, page, str(r["date"]), str(r["description"]).strip(), amount))
+            yield pd.DataFrame(found, columns=["doc_id", "page", "date", "description", "amount"])
+
+    kinds = dict(pages.dtypes)
+    asked = pages.where("text is not null").select("doc_id", "page", "text")
+    rows = asked.mapInPandas(run, f"doc_id {kinds['doc_id']}, page {kinds['page']}, date string, description string, amount string")
+    return rows.withColumn("amount", F.col("amount").try_cast("decimal(18,2)")).where("amount is not null and description <> ''").distinct()
+
+
 def is_scanned(pages: DataFrame, first: int = 3, few: int = 100) -> DataFrame:
     """doc_id, n_chars and scanned: less than ``few`` characters on the first pages."""
     n = F.sum(F.when(F.col("page") <= first, F.length(F.trim(F.coalesce("text", F.lit(""))))).otherwise(0))

@@ -175,12 +175,12 @@ SELECT doc_id, page, line, regexp_matches(text, '\\$?[0-9]{1,3}(?:,[0-9]{3})*\\.
 
 # --- optical character recognition boxes
 def src_ocr_vision(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = _words(spark, sf_dir).where("word_id % 4 = 1").select(*PAGE, F.concat_ws(" ", "text", F.lit("X")).alias("text"), (F.col("x0") / 1000).alias("norm_x"), F.lit(0.25).alias("norm_y"), F.lit(0.5).alias("norm_w"), F.lit(0.125).alias("norm_h"), F.lit(1000).alias("img_w"), F.lit(2000).alias("img_h"), F.lit(144).alias("dpi"), "word_id")
+    o = _words(spark, sf_dir).select(*PAGE, F.concat_ws(" ", "text", F.lit("X")).alias("text"), (F.col("x0") / 1000).alias("norm_x"), F.lit(0.25).alias("norm_y"), F.lit(0.5).alias("norm_w"), F.lit(0.125).alias("norm_h"), F.lit(1000).alias("img_w"), F.lit(2000).alias("img_h"), F.lit(144).alias("dpi"), "word_id")
     return _r(ocr.vision_words(o).select(*PAGE, "word_id", "part", "text", "x0", "x1", "top", "bottom"), "x0", "x1", "top", "bottom")
 
 
 Q["src_ocr_vision"] = src_ocr_vision
-S["src_ocr_vision"] = _W + " SELECT doc_id, page, word_id, part, CASE part WHEN 0 THEN text ELSE 'X' END AS text, round((x0 / 1000 * 1000 + part * 250) * 0.5, 6) AS x0, round((x0 / 1000 * 1000 + (part + 1) * 250) * 0.5, 6) AS x1, round((1 - 0.25 - 0.125) * 2000 * 0.5, 6)::DOUBLE AS top, round((1 - 0.25) * 2000 * 0.5, 6)::DOUBLE AS bottom FROM words, (VALUES (0::INTEGER), (1::INTEGER)) AS p(part) WHERE word_id % 4 = 1"
+S["src_ocr_vision"] = _W + " SELECT doc_id, page, word_id, part, CASE part WHEN 0 THEN text ELSE 'X' END AS text, round((x0 / 1000 * 1000 + part * 250) * 0.5, 6) AS x0, round((x0 / 1000 * 1000 + (part + 1) * 250) * 0.5, 6) AS x1, round((1 - 0.25 - 0.125) * 2000 * 0.5, 6)::DOUBLE AS top, round((1 - 0.25) * 2000 * 0.5, 6)::DOUBLE AS bottom FROM words, (VALUES (0::INTEGER), (1::INTEGER)) AS p(part)"
 
 
 def src_ocr_tess(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import json
 import os
+import re
 import tempfile
 import uuid
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,7 +17,8 @@ from ..functions import features, text
 from ..operators import geometry as G
 from ..operators import parse_rows as P
 from ..operators.reconcile import lines_of
-from ..sources import files, ocr
+from ..sources import documents, files, ocr
+from ..sources.workbook import sheets_of
 from ..streaming import ledger as ST
 from . import views as V
 from .agg_q import CAT, categorised
@@ -28,8 +31,12 @@ S: dict[str, str] = {}
 
 
 def scratch(spark: SparkSession) -> str:
-    """A new folder in the place that all executors share; a temporary one in tests."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), "tallyweave-scratch")
+    """A new folder in the place that all executors share; a temporary one where a single machine has none."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
+        base = os.path.join(tempfile.gettempdir(), "tallyweave-scratch")
     return f"{base}/q-{uuid.uuid4().hex}"
 
 
@@ -80,13 +87,31 @@ S["src_json_cfg"] = "SELECT * FROM (VALUES " + ", ".join(f"('{esc(c)}', {i}, '{e
 
 
 def snk_excel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of each sheet of each statement's workbook, as written and read again."""
+    path = scratch(spark)
+    rows = categorised(spark, sf_dir).join(V.txns(spark, sf_dir).select("doc_id", "seq", F.col("txn_date").alias("date")), ["doc_id", "seq"])
+    files.workbooks(rows).write.parquet(path)
+
+    def read(frames):
+        for f in frames:
+            found = [(d, name, len(x) - 1, sum(r[2] for r in x[1:])) for d, b in zip(f.doc_id, f.workbook, strict=True) for name, x in sheets_of(b)]
+            yield pd.DataFrame(found, columns=["doc_id", "sheet", "n", "total"])
+
+    return spark.read.parquet(path).mapInPandas(read, "doc_id long, sheet string, n long, total double").withColumn("total", F.round("total", 2))
+
+
+Q["snk_excel"] = snk_excel
+S["snk_excel"] = "WITH " + CAT + r", c AS (SELECT doc_id, substr(regexp_replace(category, '[^\w]', '_', 'g'), 1, 31) AS sheet, count(*) AS n, sum(amount) AS total FROM categorised GROUP BY 1, 2) SELECT doc_id, sheet, n, round(CAST(total AS DOUBLE), 2) AS total FROM c UNION ALL SELECT doc_id, 'All Transactions', CAST(sum(n) AS BIGINT), round(CAST(sum(total) AS DOUBLE), 2) FROM c GROUP BY 1 UNION ALL SELECT doc_id, 'Category Summary', count(*), round(CAST(sum(total) AS DOUBLE), 2) FROM c GROUP BY 1"
+
+
+def snk_by_category(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch(spark)
     files.write_by_category(categorised(spark, sf_dir).select("doc_id", "seq", "category"), path)
     return spark.read.parquet(path).groupBy("sheet").agg(F.count("*").alias("n"))
 
 
-Q["snk_excel"] = snk_excel
-S["snk_excel"] = "WITH " + CAT + r" SELECT substr(regexp_replace(category, '[^\w]', '_', 'g'), 1, 31) AS sheet, count(*) AS n FROM categorised GROUP BY 1"
+Q["snk_by_category"] = snk_by_category
+S["snk_by_category"] = "WITH " + CAT + r" SELECT substr(regexp_replace(category, '[^\w]', '_', 'g'), 1, 31) AS sheet, count(*) AS n FROM categorised GROUP BY 1"
 
 
 def snk_json(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -124,7 +149,56 @@ from .agg_q import ORACLE_SQL as _AGG  # noqa: E402
 S["snk_schedc_xlsx"] = S["snk_schedc_xlsx"].replace("{form}", _AGG["agg_schedule_c"])
 from .agg_q import QUERIES as _AGG_Q  # noqa: E402
 
-Q["snk_pdf_form"], S["snk_pdf_form"] = _AGG_Q["jn_line_field"], _AGG["jn_line_field"]
+
+
+def snk_pdf_form(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The filled form's fields, written as form data and read again."""
+    path = scratch(spark)
+    files.write_form_data(_AGG_Q["jn_line_field"](spark, sf_dir).select(F.concat_ws(".", "form_line", "field_pattern").alias("name"), "shown"), path)
+    return files.read_form_data(spark, path)
+
+
+Q["snk_pdf_form"] = snk_pdf_form
+S["snk_pdf_form"] = "SELECT concat_ws('.', form_line, field_pattern) AS name, shown FROM (" + _AGG["jn_line_field"] + ")"
+
+
+def snk_atomic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows by account, replaced by a table that is made of the old one."""
+    path = scratch(spark)
+    files.replace_atomically(V.txns(spark, sf_dir).groupBy("account").agg(F.count("*").alias("n")), path, "parquet")
+    files.replace_atomically(spark.read.parquet(path).withColumn("n", F.col("n") * 2), path, "parquet")
+    return spark.read.parquet(path)
+
+
+Q["snk_atomic"] = snk_atomic
+S["snk_atomic"] = "WITH " + V.TXNS + " SELECT account, count(*) * 2 AS n FROM txns GROUP BY 1"
+
+
+def snk_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A log of all rows, with the rows of the last day as fresh lines; the newest that fit in half the limit stay."""
+    log = V.txns(spark, sf_dir).select(F.col("txn_date").alias("at"), F.concat_ws(" ", F.col("seq").cast("string"), "description").alias("line"))
+    done = files.append_capped(log, log.where(F.col("at") == F.lit("1998-08-02").cast("date")), LOG_BYTES)
+    return done.select(F.col("at").cast("string").alias("day"), "line")
+
+
+LOG_BYTES = 1 << 15
+Q["snk_log"] = snk_log
+S["snk_log"] = "WITH " + V.TXNS + f", l AS (SELECT txn_date AS d, concat_ws(' ', seq::VARCHAR, description) AS line FROM txns), b AS (SELECT d, sum(strlen(line) + 1) AS n FROM l GROUP BY d), k AS (SELECT d, sum(n) OVER (ORDER BY d DESC) AS kept FROM b) SELECT CAST(d AS VARCHAR) AS day, line FROM l WHERE (SELECT sum(n) FROM b) <= {LOG_BYTES} OR d IN (SELECT d FROM k WHERE kept <= {LOG_BYTES // 2}) UNION ALL SELECT CAST(d AS VARCHAR), line FROM l WHERE d = DATE '1998-08-02'"
+
+
+def _documents(spark: SparkSession, sf_dir: str, projection: str) -> DataFrame:
+    """Statement texts as files, two pages each, read by the document source's plain-text decoder."""
+    path = scratch(spark)
+    t = V.texts(spark, sf_dir).select(F.concat(F.col("text"), F.lit("\f"), F.reverse("text")).alias("value"))
+    t.write.option("lineSep", "\f").text(path)
+    documents.register(spark)
+    return spark.read.format("statement_documents").option("projection", projection).load(path.removeprefix("file:"))
+
+
+Q["src_pdf_text"] = lambda spark, sf_dir: _documents(spark, sf_dir, "pages").where("text <> ''").select("text")
+S["src_pdf_text"] = "WITH " + V.TEXTS + " SELECT text FROM texts UNION ALL SELECT reverse(text) FROM texts"
+Q["src_pdf_words"] = lambda spark, sf_dir: _documents(spark, sf_dir, "words").groupBy("text").agg(F.count("*").alias("n"), F.sum("x0").alias("x0"), F.sum("top").alias("top"))
+S["src_pdf_words"] = "WITH " + V.TEXTS + r", p AS (SELECT unnest([text, reverse(text)]) AS text FROM texts), l AS (SELECT unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS pos FROM p), w AS (SELECT line, pos, unnest(string_split(line, ' ')) AS word, generate_subscripts(string_split(line, ' '), 1) AS i FROM l) SELECT word AS text, count(*) AS n, sum(6.0 * CASE WHEN i = 1 THEN 0 ELSE length(array_to_string(string_split(line, ' ')[1:i - 1], ' ')) + 1 END)::DOUBLE AS x0, sum(12.0 * pos)::DOUBLE AS top FROM w WHERE word <> '' GROUP BY 1"
 
 
 def snk_pdf_report(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -164,11 +238,11 @@ S["jn_stem"] = "SELECT stem, min(url) AS path FROM pages, (VALUES ('/fr/8'), ('/
 
 def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = V.read(spark, sf_dir, "documents")
-    return d.select(F.floor(F.col("doc_id") / 4).cast("long").alias("doc_id"), (F.col("doc_id") % 4 + 1).cast("int").alias("page"), F.when(F.length("text") < 400, F.substring("text", 1, 20)).otherwise(F.col("text")).alias("text"))
+    return d.select(F.floor(F.col("doc_id") / 4).cast("long").alias("doc_id"), (F.col("doc_id") % 4 + 1).cast("int").alias("page"), "text")
 
 
 Q["src_ocr_route"] = lambda spark, sf_dir: ocr.route(_pages(spark, sf_dir))
-S["src_ocr_route"] = "SELECT CAST(floor(doc_id / 4) AS BIGINT) AS doc_id, CASE WHEN coalesce(max(CASE WHEN doc_id % 4 = 0 THEN length(trim(CASE WHEN length(text) < 400 THEN substr(text, 1, 20) ELSE text END, ' ')) END), 0) < 50 THEN 'ocr' ELSE 'text' END AS backend FROM documents GROUP BY 1"
+S["src_ocr_route"] = "SELECT CAST(floor(doc_id / 4) AS BIGINT) AS doc_id, CASE WHEN coalesce(max(CASE WHEN doc_id % 4 = 0 THEN length(trim(text, ' ')) END), 0) < 50 THEN 'ocr' ELSE 'text' END AS backend FROM documents GROUP BY 1"
 Q["src_text_backend"] = lambda spark, sf_dir: ocr.first_text(V.txns(spark, sf_dir).select("doc_id", "seq", F.nullif("date_raw", F.lit("")).alias("layer"), "description", F.col("account").alias("ocr")), "layer", "description", "ocr").select("doc_id", "seq", "text", "backend")
 S["src_text_backend"] = "WITH " + V.TXNS + " SELECT doc_id, seq, CASE WHEN date_raw <> '' THEN date_raw WHEN description <> '' THEN description ELSE account END AS text, CASE WHEN date_raw <> '' THEN 'layer' WHEN description <> '' THEN 'description' ELSE 'ocr' END AS backend FROM txns"
 
@@ -234,9 +308,9 @@ S["x_line_feats2"] = "WITH " + V.WORDS + f", g AS (SELECT doc_id, page, true_lin
 
 
 def p_ml(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows by weak labels within each document's best cluster of lines; no trained model is needed."""
-    lines = lines_of(V.texts(spark, sf_dir)).select("doc_id", F.col("pos").cast("long").alias("line"), F.col("line").alias("text"))
-    return features.cluster_lines(lines).where(features.weak_label(F.col("text")) == 1).select("doc_id", "line", "cluster")
+    """Lines of ten characters or more in each document's best cluster that hold an amount; no trained model is needed."""
+    lines = lines_of(V.texts(spark, sf_dir)).select("doc_id", F.col("pos").cast("long").alias("line"), F.trim("line").alias("text"))
+    return features.best_cluster(features.cluster_lines(lines.where(F.length("text") >= 10))).where(F.col("text").rlike(features.MONEY)).select("doc_id", "line", "cluster")
 
 
 Q["p_ml"] = p_ml
@@ -280,6 +354,8 @@ def stream_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 Q["stream_windows"] = stream_windows
+# a window is final once the watermark, an hour behind the latest event, has passed its end
+S["stream_windows"] = "SELECT strftime(ts, '%Y-%m-%d') AS day, event_type, round(sum(value), 4) AS total, count(*) AS n FROM events WHERE date_trunc('day', ts) + INTERVAL 1 DAY <= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR GROUP BY 1, 2"
 
 # positions and counts are 32-bit in Spark
 S["x_line_feats2"] = V.ints(S["x_line_feats2"], "line", "n_money")

@@ -38,7 +38,7 @@ _DAY = {
 
 def _sql(bank: str) -> str:
     skip = rules.ROW_SKIP[bank]
-    where = "line <> '' AND length(line) <= 500 AND regexp_matches(line, '[0-9]')" + (f" AND NOT regexp_matches(line, '(?i){'|'.join(f'(?:{_esc(x)})' for x in skip)}')" if skip else "")
+    where = "line <> '' AND " + "length(line) <= 500 AND " * (bank == "Citibank") + "regexp_matches(line, '[0-9]')" + (f" AND NOT regexp_matches(line, '(?i){'|'.join(f'(?:{_esc(x)})' for x in skip)}')" if skip else "")
     cases = {"kind": [], "txn_date": [], "description": [], "amount": [], "keep": [], "type": []}
     for p in rules.ROW_PATTERNS[bank]:
         rx = ("" if bank == "Chase" and not p.date else "(?i)") + p.regex
@@ -136,8 +136,8 @@ def x_combine(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 Q["x_combine"] = x_combine
 S["x_combine"] = "WITH " + V.TXNS + " SELECT doc_id, bank, round(least(w / 2.7, 65.0), 5) AS confidence FROM (SELECT doc_id, 'Bank ' || seq % 4 AS bank, round(sum((seq % 7)::DOUBLE * [1.0, 0.8, 0.9][seq % 3 + 1]::DOUBLE), 6) AS w FROM txns GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY w DESC, bank DESC) = 1"
-Q["src_scanned_flag"] = lambda spark, sf_dir: D.is_scanned(V.read(spark, sf_dir, "documents").select((F.floor(F.col("doc_id") / 4)).cast("long").alias("doc_id"), (F.col("doc_id") % 4 + 1).cast("int").alias("page"), F.when(F.length("text") < 400, F.substring("text", 1, 20)).otherwise(F.col("text")).alias("text")))
-S["src_scanned_flag"] = "SELECT doc_id, n_chars, n_chars < 100 AS scanned FROM (SELECT CAST(floor(doc_id / 4) AS BIGINT) AS doc_id, CAST(sum(CASE WHEN doc_id % 4 < 3 THEN length(trim(CASE WHEN length(text) < 400 THEN substr(text, 1, 20) ELSE text END, ' ')) ELSE 0 END) AS BIGINT) AS n_chars FROM documents GROUP BY 1)"
+Q["src_scanned_flag"] = lambda spark, sf_dir: D.is_scanned(V.read(spark, sf_dir, "documents").select((F.floor(F.col("doc_id") / 4)).cast("long").alias("doc_id"), (F.col("doc_id") % 4 + 1).cast("int").alias("page"), "text"))
+S["src_scanned_flag"] = "SELECT doc_id, n_chars, n_chars < 100 AS scanned FROM (SELECT CAST(floor(doc_id / 4) AS BIGINT) AS doc_id, CAST(sum(CASE WHEN doc_id % 4 < 3 THEN length(trim(text, ' ')) ELSE 0 END) AS BIGINT) AS n_chars FROM documents GROUP BY 1)"
 
 
 def x_acct_info(spark: SparkSession, sf_dir: str) -> DataFrame:

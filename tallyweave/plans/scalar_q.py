@@ -149,9 +149,9 @@ _date("d_valid", dates.validated, {0: _iso, 1: _iso, 2: _iso, 3: _iso, 5: _swap,
 _date("d_capone", lambda c: dates.month_day(c, F.lit(1990)), {7: _in_1990, 8: _iso})
 _date("d_navy", lambda c: dates.statement(c, F.lit(1990)), {0: _iso, 1: "CASE WHEN md = '-02-29' AND year(txn_date) % 100 <> 0 THEN strftime(txn_date, '20%y-%m-%d') ELSE strftime(txn_date, '20%y-%m-%d') END", 3: _iso, 5: "CASE WHEN day(txn_date) <= 12 THEN strftime(txn_date, '%Y-%d-%m') END", 9: _in_1990})
 _date("d_add_year", lambda c: dates.add_year(c, F.lit(1990)), {**{i: "raw" for i in range(11)}, 4: "raw || '/1990'"})
-Q["d_ml"] = lambda spark, sf_dir: _dated(spark, sf_dir).where("seq % 11 in (0, 1, 2, 3, 6)").select("doc_id", "seq", dates.in_line(F.concat(F.lit("on "), F.col("raw"), F.lit(" paid"))).cast("string").alias("parsed"))
+Q["d_ml"] = lambda spark, sf_dir: _dated(spark, sf_dir).select("doc_id", "seq", dates.in_line(F.concat(F.lit("on "), F.col("raw"), F.lit(" paid"))).cast("string").alias("parsed"))
 # the first pattern also matches inside a year that comes first: 2001-07-13 reads as month 01, day 07, year 13
-S["d_ml"] = "WITH " + _RAW + f" SELECT doc_id, seq, CASE WHEN seq % 11 IN (2, 6) AND year(txn_date) % 100 BETWEEN 1 AND 12 THEN '20' || strftime(txn_date, '%d-%y-%m') ELSE {_iso} END AS parsed FROM raws WHERE seq % 11 IN (0, 1, 2, 3, 6)"
+S["d_ml"] = "WITH " + _RAW + f" SELECT doc_id, seq, CASE WHEN seq % 11 IN (2, 6) AND year(txn_date) % 100 BETWEEN 1 AND 12 THEN '20' || strftime(txn_date, '%d-%y-%m') WHEN seq % 11 IN (0, 1, 2, 3, 6) THEN {_iso} WHEN seq % 11 = 5 AND day(txn_date) <= 12 THEN strftime(txn_date, '%Y-%d-%m') END AS parsed FROM raws"
 Q["d_year_hint"] = lambda spark, sf_dir: V.texts(spark, sf_dir).select("doc_id", dates.year_hint(F.col("text"), 1990).alias("year"))
 S["d_year_hint"] = "WITH " + V.TEXTS + " SELECT doc_id, CAST(coalesce(nullif(regexp_extract(text, '[0-9]{1,2}/[0-9]{1,2}/(20[0-9]{2})', 1), ''), '1990') AS INTEGER) AS year FROM texts"
 Q["flt_date_tok"] = lambda spark, sf_dir: _dated(spark, sf_dir).where(_is_date(F.col("raw"))).select("doc_id", "seq")

@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import re
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .. import rules
 from ..functions import money, text
+from .workbook import workbook
 
 CENTS = "decimal(18,2)"
 
@@ -100,3 +105,84 @@ def report_tables(verdicts: DataFrame, rows: DataFrame) -> dict[str, DataFrame]:
 def save_config(table: DataFrame, path: str) -> None:
     """Overwrite a small settings table."""
     table.coalesce(1).write.mode("overwrite").json(path)
+
+
+def replace_atomically(table: DataFrame, path: str, form: str = "json") -> None:
+    """Write beside ``path`` and rename: readers find the old folder or the new one, never a part.
+
+    ``table`` may be read from ``path`` itself. A writer that fails leaves the old folder alone. Renames are
+    those of the path's own file system; where it renames no folders at once, neither does this.
+    """
+    spark, mark = table.sparkSession, uuid.uuid4().hex
+    jvm = spark._jvm
+    new, old, at = (jvm.org.apache.hadoop.fs.Path(p) for p in (f"{path}.{mark}.new", f"{path}.{mark}.old", path))
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    try:
+        table.write.format(form).save(new.toString())
+        there = fs.exists(at)
+        if there and not fs.rename(at, old):
+            raise OSError(f"cannot move {path} away")
+        if not fs.rename(new, at):
+            if there:
+                fs.rename(old, at)
+            raise OSError(f"cannot move the new folder to {path}")
+    finally:
+        fs.delete(new, True)
+    fs.delete(old, True)
+
+
+def append_capped(log: DataFrame, fresh: DataFrame, max_bytes: int) -> DataFrame:
+    """``log`` (at, line) with the ``fresh`` lines after it; once the old lines take more than ``max_bytes``
+    (UTF-8, with line ends), only the newest of them that fit in half of that stay.
+
+    Sizes are summed by moment first, so the log is never sorted in one place; lines of one moment stay or
+    go together. ``replace_atomically`` writes the result back. Null lines are empty.
+    """
+    size = F.octet_length(F.coalesce("line", F.lit(""))) + 1
+    by = log.groupBy("at").agg(F.sum(size).alias("n"))
+    total = by.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
+    if total > max_bytes:
+        newer = F.sum("n").over(W.orderBy(F.col("at").desc_nulls_last()).rowsBetween(W.unboundedPreceding, 0))
+        first = by.withColumn("kept", newer).where(F.col("kept") <= max_bytes // 2).agg(F.min("at").alias("at")).first()["at"]
+        log = log.where(F.col("at") >= F.lit(first)) if first is not None else log.limit(0)
+    return log.select("at", "line").unionByName(fresh.select("at", "line"))
+
+
+def write_form_data(fields: DataFrame, path: str) -> None:
+    """A form's fields (name, shown) as one file of form data (FDF), which viewers merge into the form.
+
+    A form has few fields, so one task writes them, in order of their names.
+    """
+    quoted = lambda c: F.regexp_replace(F.coalesce(c, F.lit("")), r"([\\()])", r"\\$1")
+    line = F.concat(F.lit("<< /T ("), quoted(F.col("name")), F.lit(") /V ("), quoted(F.col("shown")), F.lit(") >>"))
+    whole = fields.select("name", line.alias("line")).groupBy().agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("name", "line"))), lambda x: x["line"]), "\n").alias("all"))
+    whole.select(F.concat(F.lit("%FDF-1.2\n1 0 obj\n<< /FDF << /Fields [\n"), "all", F.lit("\n] >> >>\nendobj\ntrailer\n<< /Root 1 0 R >>\n%%EOF")).alias("value")).write.mode("overwrite").text(path)
+
+
+def read_form_data(spark: SparkSession, path: str) -> DataFrame:
+    """name and shown of the fields in files of form data."""
+    quoted = r"\(((?:[^()\\]|\\.)*)\)"
+    plain = lambda i: F.regexp_replace(F.regexp_extract("value", rf"^<< /T {quoted} /V {quoted} >>$", i), r"\\(.)", "$1")
+    return spark.read.text(path).where(F.col("value").startswith("<< /T ")).select(plain(1).alias("name"), plain(2).alias("shown"))
+
+
+def workbooks(rows: DataFrame, by: str = "doc_id", columns: tuple[str, ...] = ("date", "description", "amount")) -> DataFrame:
+    """``by`` and workbook (the bytes of an .xlsx file) of each statement: all rows, a summary by category,
+    and a sheet for each category, under its sheet name. ``rows`` also has category.
+
+    A statement's rows are one group and must fit in a sheet, which has 1,048,576 lines; more are an error.
+    """
+    import pandas as pd
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values(list(columns), kind="stable")
+        named = group.category.fillna("Uncategorized")
+        cell = lambda f: [[None if pd.isna(v) else v for v in r] for r in f[list(columns)].itertuples(index=False, name=None)]
+        sums = group.assign(category=named).groupby("category").amount.agg(["size", "sum"]).sort_index()
+        sheets = [("All Transactions", [list(columns), *cell(group)]), ("Category Summary", [["category", "count", "total"], *([c, int(n), float(t)] for c, n, t in sums.itertuples(name=None))])]
+        sheets += [(re.sub(r"[^\w]", "_", c)[:31], [list(columns), *cell(group[named == c])]) for c in sums.index]
+        return pd.DataFrame({by: [group[by].iloc[0]], "workbook": [workbook(sheets)]})
+
+    kind = dict(rows.dtypes)[by]
+    picked = rows.select(by, "category", *[F.col(c).cast("double" if c == "amount" else "string").alias(c) for c in columns])
+    return picked.groupBy(by).applyInPandas(run, f"{by} {kind}, workbook binary")
