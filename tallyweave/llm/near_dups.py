@@ -319,7 +319,8 @@ def _long_lists(marked: DataFrame, texts: DataFrame, spec: NearDupSpec) -> DataF
     open_ = cut(marked.join(mixed.hint("merge"), "place").select("rep", "c").distinct())
     rare = cut(rare_shingles(cut(open_.join(wanted_texts(texts, open_.select("rep")), "rep").select("rep", "c", "z")), spec))
     members = [F.bit_xor(F.xxhash64("rep", F.lit(i))).alias(f"g{i}") for i in range(2)]
-    lists = rare.groupBy("place").agg(*members, F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("place", "g0", "g1")
+    # cut, so that the join has two plain exchanges and a place of a large group can be split over tasks
+    lists = cut(rare.groupBy("place").agg(*members, F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("place", "g0", "g1"))
     met = rare.join(lists.hint("merge"), "place").groupBy("g0", "g1", "rep").agg(F.first("c").alias("c"), F.first("n").alias("n"), (F.first("n") - F.min("i")).alias("most"))
     return _close_pairs(cut(met), spec)
 
