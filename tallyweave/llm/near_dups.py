@@ -242,17 +242,55 @@ def confirmed(pairs: DataFrame, texts: DataFrame, spec: NearDupSpec) -> DataFram
     return both.select("a", "b", "z_a", "z_b").mapInArrow(run, "a long, b long").distinct()
 
 
-def components(links: DataFrame) -> DataFrame:
-    """node and component (its smallest node) of every node of ``links`` (a, b).
+def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The nodes of the links (a, b) and the smallest node that each one reaches by them."""
+    nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    x, y = at[: len(a)], at[len(a) :]
+    up = np.arange(len(nodes))
+    while len(x):
+        np.minimum.at(up, np.maximum(x, y), np.minimum(x, y))
+        while (up[up] != up).any():
+            up = up[up]
+        x, y = up[x], up[y]
+        x, y = x[x != y], y[x != y]
+    return nodes, nodes[up]
+
+
+def _forests(links: DataFrame, tasks: int, most: int) -> DataFrame:
+    """node and label of the links (a, b) that each of ``tasks`` tasks holds, by themselves. A task keeps one
+    row a node between blocks of ``most`` links."""
 
-    Each round hooks every root to its smallest neighbouring root, follows the hooks to their ends by
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, waiting, n = (np.zeros(0, np.int64), np.zeros(0, np.int64)), [], 0
+        for batch in batches:
+            waiting.append((batch.column(0).to_numpy(), batch.column(1).to_numpy()))
+            n += batch.num_rows
+            if n >= most:
+                held, waiting, n = forest(*map(np.concatenate, zip(held, *waiting, strict=True))), [], 0
+        nodes, least = forest(*map(np.concatenate, zip(held, *waiting, strict=True)))
+        for i in range(0, len(nodes), 1 << 16):
+            yield pa.RecordBatch.from_arrays([pa.array(nodes[i : i + (1 << 16)]), pa.array(least[i : i + (1 << 16)])], names=["node", "label"])
+
+    return links.select("a", "b").coalesce(tasks).mapInArrow(run, "node long, label long")
+
+
+def components(links: DataFrame, links_a_task: int = 1 << 20) -> DataFrame:
+    """node and component (its smallest node) of every node of ``links`` (a, b; cut, as they are read twice).
+
+    Tasks of about ``links_a_task`` links first find the components of their own links, which leaves at
+    most one link a node and task; where one task holds all links, these are the result. Otherwise each
+    round hooks every root to its smallest neighbouring root, follows the hooks to their ends by
     pointer jumping, and carries the links over to the new roots. Hooks along smallest neighbours
     form no cycles but pairs, of which the smaller node stays a root, so a root with a link left merges
     with another in every round: the rounds are at most the logarithm of the nodes, whatever their order.
     """
-    edges = _anew(links.select("a", "b").union(links.select(F.col("b"), F.col("a"))).distinct())
-    labels = edges.select(F.col("a").alias("node")).distinct().withColumn("label", F.col("node"))
-    edges = edges.where("a <> b")
+    tasks = -(-links.count() // links_a_task) or 1
+    own = _anew(_forests(links, tasks, links_a_task))
+    if own.rdd.getNumPartitions() <= 1:
+        return own.withColumnRenamed("label", "component")
+    edges = own.select(F.col("node").alias("a"), F.col("label").alias("b")).where("a <> b")
+    edges = _anew(edges.union(edges.select(F.col("b"), F.col("a"))).distinct())
+    labels = _anew(own.select("node").distinct().withColumn("label", F.col("node")))
     while edges.take(1):
         roots = _hooked(edges)
         labels = _anew(labels.join(roots.toDF("label", "root"), "label", "left").select("node", F.coalesce("root", "label").alias("label")))

@@ -79,8 +79,28 @@ def test_components_of_shuffled_chains_settle(spark):
     ids = rng.sample(range(10**6), 4000)
     chains = [ids[:3000], ids[3000:3990], ids[3990:]]
     links = [tuple(sorted(x)) for c in chains for x in zip(c, c[1:])] + [(2_000_000, 2_000_000)]
-    got = {r.node: r.component for r in N.components(spark.createDataFrame(links, "a long, b long")).collect()}
-    assert got == {i: min(c) for c in chains for i in c} | {2_000_000: 2_000_000}
+    rng.shuffle(links)
+    table = spark.createDataFrame(links, "a long, b long").repartition(8)
+    for a_task in (1 << 20, 1000, 100):
+        got = {r.node: r.component for r in N.components(table, a_task).collect()}
+        assert got == {i: min(c) for c in chains for i in c} | {2_000_000: 2_000_000}
+
+
+def test_forests_of_blocks_are_those_of_all_links(spark):
+    rng = random.Random(4)
+    links = [tuple(rng.sample(range(3000), 2)) for _ in range(1400)]
+    least, one = N.forest(*np.array(links).T), N._forests(spark.createDataFrame(links, "a long, b long"), 1, 100)
+    assert {(r.node, r.label) for r in one.collect()} == set(zip(*map(np.ndarray.tolist, least)))
+    sets = {i: {i} for link in links for i in link}
+    for a, b in links:
+        sets[a] |= sets[b]
+        for i in sets[a]:
+            sets[i] = sets[a]
+    assert dict(zip(*map(np.ndarray.tolist, least))) == {i: min(s) for i, s in sets.items()}
+
+
+def test_components_of_no_links(spark):
+    assert N.components(spark.createDataFrame([], "a long, b long")).collect() == []
 
 
 def test_empty_table(spark):
