@@ -9,7 +9,7 @@ after it and the signs at its edges. Spans of the base patterns always stay; the
 ones that overlap no base span.
 
 The first pass sends only counts by vote pattern (at most a few thousand codes, whatever the input) to
-the driver, the second a sample of at most ``FIT_SPANS`` candidates, spread evenly over the kinds by a
+the driver, the second a sample of about ``FIT_SPANS`` candidates (at most twice as many), spread evenly over the kinds by a
 hash, and the third finds and decides. Nothing is joined.
 
 Defined cases: null text is empty; documents without spans give zero counts and the hash of the empty
