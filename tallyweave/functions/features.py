@@ -67,16 +67,55 @@ def weak_label(text: Column) -> Column:
     return (sum(weak_votes(text), F.lit(0)) / 6 > 0.5).cast("int")
 
 
-def cluster_scores(lines: DataFrame, cluster: str = "cluster") -> DataFrame:
+def cluster_scores(lines: DataFrame, cluster: str = "cluster", weights: dict[str, float] = rules.PARSER_WEIGHTS, client: bool = False) -> DataFrame:
     """Score of each cluster of lines (text): money, dates, tokens, length, summaries, and weak labels.
 
-    Weights: 0.3, 0.2, 0.1, 0.1, 0.1 for the first five, together 0.6; 0.4 for the last.
+    ``weights``: those of ``rules.PARSER_WEIGHTS``, or a row of ``adapted_weights``; ``client``: weigh the weak labels
+    as those of an injected client.
     """
     t = F.col("text")
     tokens = F.when(F.trim(t) == "", 0).otherwise(F.size(F.split(F.trim(t), r"\s+")))
     mean = lines.groupBy(cluster).agg(F.avg(t.rlike(MONEY).cast("int")).alias("m"), F.avg(t.rlike(DATE).cast("int")).alias("d"), F.avg(tokens).alias("k"), F.avg(F.length(t)).alias("c"), F.avg(any_of(F.lower(t), rules.SUMMARY_TERMS).cast("int")).alias("s"), F.avg(weak_label(t)).alias("w"), F.count("*").alias("n_lines"))
-    plain = F.col("m") * 0.3 + F.col("d") * 0.2 + F.least(F.col("k") / 10, F.lit(1)) * 0.1 + F.least(F.col("c") / 50, F.lit(1)) * 0.1 + (1 - F.col("s")) * 0.1
-    return mean.select(cluster, (plain * 0.6 + F.col("w") * 0.4).alias("score"), "n_lines")
+    g, kind = weights, "ai_" if client else ""
+    plain = F.col("m") * g["money_rate"] + F.col("d") * g["date_rate"] + F.least(F.col("k") / 10, F.lit(1)) * g["tokens"] + F.least(F.col("c") / 50, F.lit(1)) * g["chars"] + (1 - F.col("s")) * g["summary"]
+    return mean.select(cluster, (plain * g[kind + "plain"] + F.col("w") * g[kind + "weak"]).alias("score"), "n_lines")
+
+
+#: Records of a history that are folded in one array.
+FOLD = 1024
+
+
+def adapted_weights(history: DataFrame) -> DataFrame:
+    """parser and the weights that its ``history`` (parser, at, success) has led to, one column each.
+
+    After each record but the first nine the mean of the last ten decides: a poor one raises the shares of money, dates
+    and weak labels and lowers the confidence asked for, a good one raises it, each up to its limit. A null success counts
+    as 0; ties in ``at`` go by success. A history of any length is folded in blocks: steps with limits are
+    functions min(hi, max(lo, x + d)), and two of these in a row are one again.
+    """
+    by = W.partitionBy("parser").orderBy("at", "success")
+    h = history.select("parser", "at", F.coalesce("success", F.lit(0.0)).alias("success")).withColumn("i", F.row_number().over(by))
+    recent = F.avg("success").over(by.rowsBetween(1 - rules.PARSER_RECENT, 0))
+    verdict = F.when(F.col("i") < rules.PARSER_RECENT, 0).when(recent < rules.PARSER_POOR, -1).when(recent > rules.PARSER_GOOD, 1).otherwise(0)
+    (down, floor), (up, top) = rules.PARSER_STEPS["confidence"], rules.PARSER_GOOD_STEP
+    blank = F.struct(F.lit(0.0).alias("d"), F.lit(float("-inf")).alias("lo"), F.lit(float("inf")).alias("hi"))
+
+    def step(acc: Column, x: Column) -> Column:
+        move = F.when(x["v"] < 0, down).otherwise(up)
+        lo, hi = acc["lo"] + move, acc["hi"] + move
+        lowered = F.struct((acc["d"] + move).alias("d"), F.greatest(F.lit(floor), lo).alias("lo"), F.greatest(F.lit(floor), hi).alias("hi"))
+        raised = F.struct((acc["d"] + move).alias("d"), lo.alias("lo"), F.least(F.lit(top), hi).alias("hi"))
+        return F.when(x["v"] < 0, lowered).when(x["v"] > 0, raised).otherwise(acc)
+
+    marked = h.select("parser", "i", verdict.alias("v"), F.floor((F.col("i") - 1) / FOLD).alias("block"))
+    moves = F.sort_array(F.collect_list(F.struct("i", "v")))
+    blocks = marked.groupBy("parser", "block").agg(F.sum((F.col("v") < 0).cast("long")).alias("poor"), F.aggregate(moves, blank, step).alias("f"))
+    whole = blocks.groupBy("parser").agg(F.sum("poor").alias("poor"), F.sort_array(F.collect_list(F.struct("block", "f"))).alias("fs"))
+    first = rules.PARSER_WEIGHTS
+    raised = {k: F.least(F.lit(most), F.lit(first[k]) + F.col("poor") * by_one) for k, (by_one, most) in rules.PARSER_STEPS.items() if k != "confidence"}
+    sure = F.aggregate("fs", F.lit(first["confidence"]), lambda x, b: F.least(b["f"]["hi"], F.greatest(b["f"]["lo"], x + b["f"]["d"])))
+    now = {**{k: F.lit(v) for k, v in first.items()}, **raised, "ai_plain": 1 - raised["ai_weak"], "confidence": sure}
+    return whole.select("parser", *[v.alias(k) for k, v in now.items()])
 
 
 def best_cluster(lines: DataFrame) -> DataFrame:
@@ -101,13 +140,15 @@ def layout_features(tokens: DataFrame, page_width: float = 612.0) -> DataFrame:
 def cluster_lines(lines: DataFrame, k: int | None = None, seed: int = 7) -> DataFrame:
     """cluster of each line of a document by k-means on its features; k is a fifth of the lines, 2 to 8.
 
-    A document's lines are one group (a few hundred at most), clustered within it.
+    A document's lines are one group, clustered within it in one task: memory grows with a document's lines, at 8 x 8
+    bytes a line for the distances. Null texts count as empty.
     """
     import numpy as np
     import pandas as pd
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
         x = group.sort_values("line").reset_index(drop=True)
+        x["text"] = x.text.fillna("")
         f = np.stack([x.text.str.count(MONEY), x.text.str.count(DATE), x.text.str.len() / 50, x.text.str.count("[0-9]") / x.text.str.len().clip(lower=1)], 1).astype(float)
         f = (f - f.mean(0)) / np.where(f.std(0) > 0, f.std(0), 1)
         n = min(len(x), k or min(max(2, len(x) // 5), 8))

@@ -205,6 +205,21 @@ def x_cluster_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 Q["x_cluster_score"] = x_cluster_score
 S["x_cluster_score"] = "WITH " + V.TEXTS + f", f AS (SELECT pos % 12 AS cluster, regexp_matches(line, '{_MONEY}')::INT AS m, regexp_matches(line, '{_DATE}')::INT AS d, CASE WHEN trim(line) = '' THEN 0 ELSE len(regexp_split_to_array(trim(line), '\\s+')) END AS k, length(line) AS c, ({' OR '.join(f'contains(lower(line), {w!r})' for w in rules.SUMMARY_TERMS)})::INT AS s, {_WEAK} AS w FROM text_lines) SELECT cluster, round((avg(m) * 0.3 + avg(d) * 0.2 + least(avg(k) / 10, 1) * 0.1 + least(avg(c) / 50, 1) * 0.1 + (1 - avg(s)) * 0.1) * 0.6 + avg(w) * 0.4, 6) AS score, count(*) AS n_lines FROM f GROUP BY 1"
+
+
+def x_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The weights after a history of successes: each type of event is a parser, its success drifts."""
+    e = V.read(spark, sf_dir, "events")
+    history = e.select(F.col("event_type").alias("parser"), F.col("event_id").alias("at"), (F.floor(F.col("event_id") / 60) % 5 / 4.0).alias("success"))
+    out = features.adapted_weights(history)
+    return out.select("parser", *[F.round(c, 6).alias(c) for c in out.columns if c != "parser"])
+
+
+Q["x_weights"] = x_weights
+_LOW, _HIGH = rules.PARSER_STEPS["confidence"], rules.PARSER_GOOD_STEP
+_MOVED = {k: f"least({most}, {rules.PARSER_WEIGHTS[k]} + poor * {step})" for k, (step, most) in rules.PARSER_STEPS.items() if k != "confidence"}
+_NOW = {**{k: str(v) for k, v in rules.PARSER_WEIGHTS.items()}, **_MOVED, "ai_plain": f"1 - {_MOVED['ai_weak']}", "confidence": f"list_reduce([{rules.PARSER_WEIGHTS['confidence']}::DOUBLE] || vs, lambda x, v: CASE WHEN v < 0 THEN greatest({_LOW[1]}, x + v) WHEN v > 0 THEN least({_HIGH[1]}, x + v) ELSE x END)"}
+S["x_weights"] = f"WITH h AS (SELECT event_type AS parser, event_id AS t, floor(event_id / 60) % 5 / 4.0 AS success FROM events), r AS (SELECT parser, t, avg(success) OVER w AS recent, count(*) OVER w AS n FROM h WINDOW w AS (PARTITION BY parser ORDER BY t, success ROWS {rules.PARSER_RECENT - 1} PRECEDING)), v AS (SELECT parser, t, CASE WHEN n < {rules.PARSER_RECENT} THEN 0 WHEN recent < {rules.PARSER_POOR} THEN {_LOW[0]} WHEN recent > {rules.PARSER_GOOD} THEN {_HIGH[0]} ELSE 0 END::DOUBLE AS v FROM r), g AS (SELECT parser, list(v ORDER BY t) AS vs, sum((v < 0)::INT) AS poor FROM v GROUP BY 1) SELECT parser, " + ", ".join(f"round(({v})::DOUBLE, 6) AS {k}" for k, v in _NOW.items()) + " FROM g"
 Q["x_strategy"] = lambda spark, sf_dir: V.read(spark, sf_dir, "documents").select("doc_id", P.strategy(F.length("text")).alias("strategy"))
 S["x_strategy"] = "SELECT doc_id, CASE WHEN length(text) < 1000 THEN 'pattern_based' WHEN length(text) < 3000 THEN 'light_clustering' WHEN length(text) < 8000 THEN 'adaptive_clustering' ELSE 'full_clustering' END AS strategy FROM documents"
 Q["s_fingerprint"] = lambda spark, sf_dir: V.texts(spark, sf_dir).select("doc_id", text.fingerprint(F.col("text")).alias("fingerprint"))

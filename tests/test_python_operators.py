@@ -54,6 +54,34 @@ def test_fuzzy_names_are_those_of_the_plain_function(spark):
     assert got == {i: C.closest(s, names) for i, s in enumerate([*said, *said])}
 
 
+POOR_LAST = [[0.9, 1.0], [0.5, 0.9], [0.0, 0.6], [0.1, 0.2]]
+
+
+def test_weights_adapt_record_by_record(spark, monkeypatch):
+    rng = random.Random(5)
+    runs = {p: [rng.choice(level) for level in levels for _ in range(n)] for p, n, levels in (("a", 2, POOR_LAST), ("b", 12, POOR_LAST), ("c", 40, POOR_LAST[::-1]), ("d", 14, POOR_LAST[1:]), ("e", 12, POOR_LAST[::-1]))}
+    want = {}
+    for p, values in runs.items():
+        w = dict(rules.PARSER_WEIGHTS)
+        for i in range(10, len(values) + 1):
+            mean = sum(values[i - 10 : i]) / 10
+            if mean < 0.5:
+                w["ai_weak"] = min(0.8, w["ai_weak"] + 0.1)
+                w["ai_plain"] = 1 - w["ai_weak"]
+                w["confidence"] = max(0.1, w["confidence"] - 0.05)
+                w["money_rate"], w["date_rate"] = min(0.4, w["money_rate"] + 0.05), min(0.3, w["date_rate"] + 0.05)
+            elif mean > 0.8:
+                w["confidence"] = min(0.5, w["confidence"] + 0.02)
+        want[p] = w
+    assert len({round(w["confidence"], 6) for w in want.values()}) > 2
+    history = spark.createDataFrame([(p, i, v or None, 9) for p, values in runs.items() for i, v in enumerate(values)], "parser string, at long, success double, i int")
+    monkeypatch.setattr(features, "FOLD", 8)
+    got = {r.parser: r.asDict() for r in features.adapted_weights(history).collect()}
+    assert got.keys() == want.keys()
+    assert all(abs(got[p][k] - v) < 1e-9 for p, w in want.items() for k, v in w.items())
+    assert features.adapted_weights(history.limit(0)).collect() == []
+
+
 def test_clusters_keep_every_line_and_split_unlike_ones(spark):
     lines = [(1, i, f"01/{i % 28 + 1:02d} SHOP NUMBER {i} $1{i % 10}.00" if i % 2 else "some heading without figures") for i in range(40)]
     out = features.cluster_lines(spark.createDataFrame(lines, "doc_id long, line long, text string"), k=2).collect()
