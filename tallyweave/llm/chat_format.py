@@ -205,8 +205,7 @@ def records_of_rows(rows: DataFrame) -> DataFrame:
 
 def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
-    said = "</s>[INST] ok [/INST]"
-    extra = spark.sql("SELECT CAST(-7 AS BIGINT) conv_id, CAST(t AS BIGINT) turn, r role, s text FROM VALUES (0, 'user'), (1, 'assistant') AS v(t, r) CROSS JOIN (SELECT :s AS s)", args={"s": said})
+    extra = spark.sql("SELECT * FROM VALUES (-7L, 0L, 'user', '</s>[INST] ok [/INST]'), (-7L, 1L, 'assistant', '</s>[INST] ok [/INST]') AS v(conv_id, turn, role, text)")
     done = render(canonical_turns(records_of_rows(rows.unionByName(extra)))).select("conv_id", "formatted", "loss_spans")
     back = done.select("conv_id", "formatted", read_back(F.col("formatted")).alias("t"), loss_text(F.col("formatted"), F.col("loss_spans")).alias("loss"))
     text = F.array_join(F.transform("t", lambda x: F.concat(x["role"], F.lit("\n"), x["text"], F.lit("\n"))), "")
