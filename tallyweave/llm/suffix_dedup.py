@@ -14,6 +14,11 @@ of the merged order and the bytes before the anchors tell which windows are equa
 A gram with more than ``hot`` contexts would make one large group; its windows are counted by 128-bit
 hash instead, each as a row of its own, so no task gets the group.
 
+Passages are found by the same sort over codes of words, four bytes each, in place of the text's bytes: a word
+counts if a run of 51 words that holds it also starts at another place, whatever its length in bytes. Nothing is
+removed for that. Two different words have one code with a chance of 2^-32, and a false match needs 50 more
+words that are equal.
+
 Defined cases: null text is empty; texts shorter than ``length`` lose nothing; repeated rows are
 copies of each other; rows with a null id take part; an empty table gives an empty result; other
 columns are never read. Matches never cross documents.
@@ -22,6 +27,8 @@ columns are never read. Matches never cross documents.
 from __future__ import annotations
 
 import pickle
+import re
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -38,6 +45,9 @@ _MORE_BYTES = np.random.default_rng(77).integers(1, 1 << 63, 256, dtype=np.uint6
 #: Window starts handled at a time; positions in a chunk fit in 20 bits.
 CHUNK = 1 << 19
 _BITS = 20
+_SPACE = re.compile(rb"[\x20\x09-\x0D]")
+#: Bytes of a word's code.
+CODE = 4
 
 
 @dataclass(frozen=True)
@@ -47,11 +57,37 @@ class RepeatSpec:
     hot: int = 20_000
     #: Contexts that one merging task should get.
     bucket: int = 20_000
+    #: Codes of words in place of bytes; ``length`` and ``gram`` are then ``CODE`` times as many as the words.
+    words: bool = False
 
     @property
     def spread(self) -> int:
         return self.length - self.gram + 1
 
+    @property
+    def least(self) -> int:
+        """Bytes of the shortest text that can have a window."""
+        return 2 * (self.length // CODE) - 1 if self.words else self.length
+
+    def data(self, text: str) -> bytes:
+        data = text.encode("utf-8", "surrogatepass")
+        return word_codes(data) if self.words else data
+
+
+#: Passages of over 50 words.
+PASSAGE = RepeatSpec(length=51 * CODE, gram=8 * CODE, words=True)
+
+
+def word_codes(data: bytes) -> bytes:
+    """The words' codes in order; long texts are split in chunks that end at a space."""
+    out, at = [], 0
+    while at < len(data):
+        space = _SPACE.search(data, at + CHUNK)
+        end = space.start() if space else len(data)
+        out.append(np.fromiter(map(zlib.crc32, data[at:end].split()), np.dtype("<u4")).tobytes())
+        at = end
+    return b"".join(out)
+
 
 class Hashes:
     """Polynomial hashes of all substrings of a byte array, by their ends."""
@@ -300,15 +336,15 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text")).select(F.coalesce("doc_id", F.lit(-1)).alias("k1"), F.xxhash64("doc_id", "text").alias("k2"), "doc_id", "text")
 
 
-def _pressed(keyed: DataFrame, table: np.ndarray) -> DataFrame:
-    """doc_id, k1, k2 and z, the compressed text, of the rows whose key is in the bitmap."""
+def _pressed(keyed: DataFrame, table: np.ndarray, spec: RepeatSpec) -> DataFrame:
+    """doc_id, k1, k2 and z, the compressed bytes or codes, of the rows whose key is in the bitmap."""
     held = keyed.sparkSession.sparkContext.broadcast(table)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         press = zstandard.ZstdCompressor(level=1)
         for batch in batches:
             take = batch.filter(pa.array(lit_up(held.value, batch.column(4).to_numpy())))
-            z = pa.array([press.compress(t.encode("utf-8", "surrogatepass")) for t in take.column(3).to_pylist()], pa.binary())
+            z = pa.array([press.compress(spec.data(t)) for t in take.column(3).to_pylist()], pa.binary())
             yield pa.RecordBatch.from_arrays([*take.columns[:3], z], names=["doc_id", "k1", "k2", "z"])
 
     return keyed.select("doc_id", "k1", "k2", "text", spot("k1", "k2").alias("at")).mapInArrow(run, "doc_id long, k1 long, k2 long, z binary")
@@ -322,13 +358,13 @@ def repeated_spans(docs: DataFrame, spec: RepeatSpec = RepeatSpec()) -> DataFram
         for batch in batches:
             found = []
             for i, text in enumerate(batch.column(2).to_pylist()):
-                got = anchors(text.encode("utf-8", "surrogatepass"), spec)
+                got = anchors(spec.data(text), spec)
                 found.append((np.full(len(got[0]), i), *got))
             row, pos, lo, hi, h, c = (np.concatenate(x) for x in zip(*found, strict=True)) if found else [np.zeros(0, np.int64)] * 6
             take = pa.array(row.astype(np.int64))
             yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), pa.array(pos.astype(np.int32)), pa.array(lo.astype(np.int32)), pa.array(hi.astype(np.int32)), pa.array(h), pa.array(c)], names=["k1", "k2", "pos", "lo", "hi", "h", "c"])
 
-    long_enough = keyed.where(F.octet_length("text") >= spec.length).select("k1", "k2", "text")
+    long_enough = keyed.where(F.octet_length("text") >= spec.least).select("k1", "k2", "text")
     rows = cut(long_enough.mapInArrow(run, "k1 long, k2 long, pos int, lo int, hi int, h long, c long"))
     contexts = rows.groupBy("h", "c").agg(F.count("*").alias("n"), F.min(F.struct("k1", "k2", "pos", "lo", "hi")).alias("at"))
     grams = contexts.groupBy("h").agg(F.sum("n").alias("all"), F.count("*").alias("kinds")).where("all > 1")
@@ -338,7 +374,7 @@ def repeated_spans(docs: DataFrame, spec: RepeatSpec = RepeatSpec()) -> DataFram
         one = F.struct("at.pos", "at.lo", "at.hi", "h", "c", (F.lit(spec.length) - F.col("at.lo")).alias("right"))
         asked = cut(known.where(which).groupBy("at.k1", "at.k2").agg(F.collect_list(one).alias("wanted")))
         # rows that repeat have one key; any of them will do
-        return _pressed(keyed, bitmap(asked, "k1", "k2")).join(asked, ["k1", "k2"])
+        return _pressed(keyed, bitmap(asked, "k1", "k2"), spec).join(asked, ["k1", "k2"])
 
     several = known.where("kinds > 1").agg(F.count("*"), F.coalesce(F.max("kinds"), F.lit(0))).first()
     whole = known.where("n > 1").select("h", "c", F.col("at.lo").alias("l1"), F.col("at.hi").alias("l2"))
@@ -367,19 +403,16 @@ def merged(spans: list[dict]) -> list[tuple[int, int]]:
     return out
 
 
-SCHEMA = "doc_id long, kept binary, n_bytes long, n_removed long, n_spans long"
+SCHEMA = "k1 long, k2 long, doc_id long, kept binary, n_bytes long, n_removed long, n_spans long"
 
 
-def _out(doc_ids: pa.Array, out: list[tuple[bytes, int, int, int]]) -> pa.RecordBatch:
+def _out(keys: list[pa.Array], out: list[tuple[bytes, int, int, int]]) -> pa.RecordBatch:
     columns = list(zip(*out, strict=True)) if out else [[]] * 4
-    return pa.RecordBatch.from_arrays([doc_ids, pa.array(columns[0], pa.binary()), *[pa.array(c, pa.int64()) for c in columns[1:]]], names=["doc_id", "kept", "n_bytes", "n_removed", "n_spans"])
-
+    return pa.RecordBatch.from_arrays([*keys, pa.array(columns[0], pa.binary()), *[pa.array(c, pa.int64()) for c in columns[1:]]], names=["k1", "k2", "doc_id", "kept", "n_bytes", "n_removed", "n_spans"])
 
-def remove_repeats(docs: DataFrame, spec: RepeatSpec = RepeatSpec()) -> DataFrame:
-    """doc_id, kept (the bytes that stay), n_bytes, n_removed and n_spans, one row per input row.
 
-    Only texts with repeated windows meet their spans in a join; the others pass as they are.
-    """
+def _removed(docs: DataFrame, spec: RepeatSpec) -> DataFrame:
+    """The columns of ``remove_repeats`` and the key of the row."""
     keyed = _keyed(docs)
     spans = cut(repeated_spans(docs, spec))
     table = bitmap(spans, "k1", "k2")
@@ -387,30 +420,55 @@ def remove_repeats(docs: DataFrame, spec: RepeatSpec = RepeatSpec()) -> DataFram
 
     def untouched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rest = batch.filter(pa.array(~lit_up(held.value, batch.column(2).to_numpy())))
-            data = [t.encode("utf-8", "surrogatepass") for t in rest.column(1).to_pylist()]
-            yield _out(rest.column(0), [(d, len(d), 0, 0) for d in data])
+            rest = batch.filter(pa.array(~lit_up(held.value, batch.column(4).to_numpy())))
+            data = [t.encode("utf-8", "surrogatepass") for t in rest.column(3).to_pylist()]
+            yield _out(rest.columns[:3], [(d, len(d), 0, 0) for d in data])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for z, found in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+            for z, found in zip(batch.column(3).to_pylist(), batch.column(4).to_pylist(), strict=True):
                 data, runs = zstandard.ZstdDecompressor().decompress(z), merged(found)
                 parts, at = [], 0
                 for s, e in runs:
                     parts.append(data[at:s])
                     at = e
                 out.append((b"".join([*parts, data[at:]]), len(data), sum(e - s for s, e in runs), len(runs)))
-            yield _out(batch.column(0), out)
+            yield _out(batch.columns[:3], out)
 
-    rest = keyed.select("doc_id", "text", spot("k1", "k2").alias("at")).mapInArrow(untouched, SCHEMA)
-    touched = _pressed(keyed, table).join(spans, ["k1", "k2"], "left").select("doc_id", "z", "spans").mapInArrow(run, SCHEMA)
+    rest = keyed.select("k1", "k2", "doc_id", "text", spot("k1", "k2").alias("at")).mapInArrow(untouched, SCHEMA)
+    touched = _pressed(keyed, table, spec).join(spans, ["k1", "k2"], "left").select("k1", "k2", "doc_id", "z", "spans").mapInArrow(run, SCHEMA)
     return rest.union(touched)
 
 
+def remove_repeats(docs: DataFrame, spec: RepeatSpec = RepeatSpec()) -> DataFrame:
+    """doc_id, kept (the bytes that stay), n_bytes, n_removed and n_spans, one row per input row.
+
+    Only texts with repeated windows meet their spans in a join; the others pass as they are.
+    """
+    return _removed(docs, spec).drop("k1", "k2")
+
+
+def repeated_passages(docs: DataFrame, spec: RepeatSpec = PASSAGE) -> DataFrame:
+    """k1, k2 (key of a row), n_passages (maximal runs of words in repeated windows) and n_passage_words, of
+    the rows that have any."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            # a window may begin or end inside a code: the whole words in it count
+            runs = [merged([{"s": -(-x["s"] // CODE), "e": x["e"] // CODE} for x in found]) for found in batch.column(2).to_pylist()]
+            counts = [pa.array([len(r) for r in runs], pa.int64()), pa.array([sum(e - s for s, e in r) for r in runs], pa.int64())]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], *counts], names=["k1", "k2", "n_passages", "n_passage_words"])
+
+    return repeated_spans(docs, spec).mapInArrow(run, "k1 long, k2 long, n_passages long, n_passage_words long")
+
+
 def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    done = remove_repeats(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return done.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    passages = cut(repeated_passages(docs))
+    done = _removed(docs, RepeatSpec()).select("k1", "k2", "doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+    counts = [F.coalesce(c, F.lit(0)).alias(c) for c in ("n_passages", "n_passage_words")]
+    return done.join(passages, ["k1", "k2"], "left").select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", *counts)
 
 
 QUERIES = {"op8_suffix_dedup": op8_suffix_dedup}

@@ -1,4 +1,5 @@
 import random
+import re
 from collections import Counter
 
 import pytest
@@ -81,3 +82,48 @@ def test_empty_table_and_null_ids(spark):
     t = "abcdefghij" * 41
     rows = S.remove_repeats(odd_docs(spark, [(None, t[:405]), (None, "short"), (1, t[:405])])).collect()
     assert sorted(r.n_removed for r in rows) == [0, 405, 405]
+
+
+def brute_passages(texts, k):
+    data = [re.findall(r"[^\x20\x09-\x0D]+", t or "") for t in texts]
+    seen = Counter(tuple(d[i : i + k]) for d in data for i in range(len(d) - k + 1))
+    out = []
+    for d in data:
+        cover = [0] * len(d)
+        for i in range(len(d) - k + 1):
+            if seen[tuple(d[i : i + k])] > 1:
+                cover[i : i + k] = [1] * k
+        out.append((sum(1 for i, c in enumerate(cover) if c and not (i and cover[i - 1])), sum(cover)))
+    return out
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_passages_match_brute_force(spark, seed, monkeypatch):
+    rng = random.Random(seed)
+    piece = lambda k: "".join(rng.choice(["a", "bé", "the", "longerword", "x y"]) + rng.choice([" ", "\n", " \t "]) for _ in range(k))
+    shared = [piece(rng.randint(8, 30)) for _ in range(5)]
+    texts = ["".join(piece(rng.randint(0, 12)) + (rng.choice(shared) if rng.random() < 0.6 else "") for _ in range(rng.randint(0, 4))) for _ in range(40)]
+    texts += [texts[0], None, "", "and " * 40, shared[0] * 2, "﻿" + shared[1]]
+    spec = S.RepeatSpec(length=10 * S.CODE, gram=3 * S.CODE, bucket=50, words=True)
+    docs = odd_docs(spark, list(enumerate(texts)))
+    keys = {(r.k1, r.k2): r.k1 for r in S._keyed(docs).collect()}
+    found = {keys[r.k1, r.k2]: (r.n_passages, r.n_passage_words) for r in S.repeated_passages(docs, spec).collect()}
+    assert [found.get(i, (0, 0)) for i in range(len(texts))] == brute_passages(texts, 10)
+    assert found
+    data = " ".join(filter(None, texts)).encode()
+    whole = S.word_codes(data)
+    assert len(whole) == S.CODE * len(data.split())
+    monkeypatch.setattr(S, "CHUNK", 50)
+    assert S.word_codes(data) == whole
+
+
+def test_query_counts_passages_under_400_bytes(spark, tmp_path):
+    rng = random.Random(8)
+    words = lambda n, c: " ".join(rng.choice(c) + str(rng.randrange(10**3)) for _ in range(n))
+    passage, short = words(51, "p"), words(50, "s")
+    texts = [words(30, "a") + " " + passage + "\n" + words(9, "b"), passage + " " + words(70, "c"), words(5, "d") + " " + short, short + " " + words(5, "e"), words(90, "f"), None]
+    assert len(passage) < 400
+    spark.createDataFrame([*enumerate(texts), (None, passage), (None, passage)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    rows = S.op8_suffix_dedup(spark, str(tmp_path)).collect()
+    assert {r.doc_id: (r.n_removed, r.n_passages, r.n_passage_words) for r in rows if r.doc_id is not None} == {0: (0, 1, 51), 1: (0, 1, 51), 2: (0, 0, 0), 3: (0, 0, 0), 4: (0, 0, 0), 5: (0, 0, 0)}
+    assert [(r.n_passages, r.n_passage_words) for r in rows if r.doc_id is None] == [(1, 51)] * 2
