@@ -15,8 +15,8 @@ A gram with more than ``hot`` contexts would make one large group; its windows a
 hash instead, each as a row of its own, so no task gets the group.
 
 Passages are found by the same sort over codes of words, four bytes each, in place of the text's bytes: a word
-counts if a run of 51 words that holds it also starts at another place, whatever its length in bytes. Nothing is
-removed for that. Two different words have one code with a chance of 2^-32, and a false match needs 50 more
+counts if a run of 51 words that holds it also occurs in another document, whatever its length in bytes. Nothing
+is removed for that; rows of one id and text are one document here. Two different words have one code with a chance of 2^-32, and a false match needs 50 more
 words that are equal.
 
 Defined cases: null text is empty; texts shorter than ``length`` lose nothing; repeated rows are
@@ -59,6 +59,8 @@ class RepeatSpec:
     bucket: int = 20_000
     #: Codes of words in place of bytes; ``length`` and ``gram`` are then ``CODE`` times as many as the words.
     words: bool = False
+    #: Only what occurs in the text of another key counts.
+    across: bool = False
 
     @property
     def spread(self) -> int:
@@ -75,7 +77,7 @@ class RepeatSpec:
 
 
 #: Passages of over 50 words.
-PASSAGE = RepeatSpec(length=51 * CODE, gram=8 * CODE, words=True)
+PASSAGE = RepeatSpec(length=51 * CODE, gram=8 * CODE, words=True, across=True)
 
 
 def word_codes(data: bytes) -> bytes:
@@ -219,10 +221,11 @@ def merge(runs: list[list[tuple[int, bytes]]]) -> Iterator[tuple[int, int, int,
             node //= 2
 
 
-def equal_windows(lcp: list[int], rights: list[bytes], lefts: list[bytes], lo: list[int], hi: list[int], spec: RepeatSpec) -> list[list[tuple[int, int]]]:
+def equal_windows(lcp: list[int], rights: list[bytes], lefts: list[bytes], lo: list[int], hi: list[int], spec: RepeatSpec, owners: list[tuple[int, int]] | None = None) -> list[list[tuple[int, int]]]:
     """For each context of one gram, in sorted order, the runs (l1, l2) of its windows that another has too.
 
-    ``lcp[i]``: common prefix of the right sides i - 1 and i.
+    ``lcp[i]``: common prefix of the right sides i - 1 and i. ``owners``: least and greatest document of each
+    context; with them, windows that one document alone has do not count.
     """
     n, length = len(rights), spec.length
     if n <= 8:
@@ -231,6 +234,8 @@ def equal_windows(lcp: list[int], rights: list[bytes], lefts: list[bytes], lo: l
             near = length
             for j in range(i + 1, n):
                 near = min(near, lcp[j])
+                if owners and owners[i] == owners[j] and owners[i][0] == owners[i][1]:
+                    continue
                 back = common(lefts[i][::-1], lefts[j][::-1], 0)
                 if near + back >= length:
                     for x in (i, j):
@@ -244,6 +249,7 @@ def equal_windows(lcp: list[int], rights: list[bytes], lefts: list[bytes], lo: l
         back = np.frombuffer(s[::-1], np.uint8)
         grid[i, 1 : len(back) + 1] = mix(np.cumsum(_BYTES[back] * _powers(len(back) + 1)[0][:-1], dtype=np.uint64))
     low, high, gaps = np.array(lo), np.array(hi), np.array(lcp)
+    least, most = np.array(owners, np.int64).T if owners else (None, None)
     found: list[list[tuple[int, int]]] = [[] for _ in range(n)]
     for at in range(min(lo), width + 1):
         rows = np.flatnonzero((low <= at) & (at <= high))
@@ -252,7 +258,13 @@ def equal_windows(lcp: list[int], rights: list[bytes], lefts: list[bytes], lo: l
         apart = np.cumsum(gaps < length - at)
         key = mix(grid[rows, at] + apart[rows].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
         _, where, many = np.unique(key, return_inverse=True, return_counts=True)
-        for i in rows[many[where] > 1].tolist():
+        again = many > 1
+        if owners and again.any():
+            a, b = np.full(len(many), np.iinfo(np.int64).max), np.full(len(many), np.iinfo(np.int64).min)
+            np.minimum.at(a, where, least[rows])
+            np.maximum.at(b, where, most[rows])
+            again &= a < b
+        for i in rows[again[where]].tolist():
             if found[i] and found[i][-1][1] == at - 1:
                 found[i][-1] = (found[i][-1][0], at)
             else:
@@ -262,12 +274,12 @@ def equal_windows(lcp: list[int], rights: list[bytes], lefts: list[bytes], lo: l
 
 def _runs_of(batch: pa.RecordBatch, buckets: int) -> pa.RecordBatch:
     """Front-coded sorted runs of a batch of texts with their wanted contexts, one for each bucket."""
-    by: dict[int, list[tuple[bytes, bytes, int, int, int, int]]] = {}
+    by: dict[int, list[tuple[bytes, bytes, int, int, int, int, tuple[int | None, int | None]]]] = {}
     for z, wanted in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
         data = zstandard.ZstdDecompressor().decompress(z)
         for x in wanted:
             p = x["pos"]
-            by.setdefault(x["h"] % buckets, []).append((data[p : p + x["right"]], data[p - x["hi"] : p], x["lo"], x["hi"], x["h"], x["c"]))
+            by.setdefault(x["h"] % buckets, []).append((data[p : p + x["right"]], data[p - x["hi"] : p], x["lo"], x["hi"], x["h"], x["c"], (x.get("least"), x.get("most"))))
     keys, blobs = [], []
     for bucket, items in by.items():
         items.sort()
@@ -293,7 +305,7 @@ def merged_windows(texts: DataFrame, total: int, spec: RepeatSpec) -> DataFrame:
         def close() -> None:
             if len(group) > 1:
                 lcp, rights, metas = [g[0] for g in group], [g[1] for g in group], [g[2] for g in group]
-                got = equal_windows(lcp, rights, [m[0] for m in metas], [m[1] for m in metas], [m[2] for m in metas], spec)
+                got = equal_windows(lcp, rights, [m[0] for m in metas], [m[1] for m in metas], [m[2] for m in metas], spec, [m[5] for m in metas] if spec.across else None)
                 for meta, spans in zip(metas, got, strict=True):
                     out.extend((meta[3], meta[4], a, b) for a, b in sorted(set(spans)))
             group.clear()
@@ -323,10 +335,12 @@ def counted_windows(texts: DataFrame, spec: RepeatSpec) -> DataFrame:
                     start = np.arange(x["hi"] - x["lo"] + 1)
                     one, two = (Hashes(part, t).of(start, start + spec.length).view(np.int64) for t in (_BYTES, _MORE_BYTES))
                     k = len(start)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(k, x["h"])), pa.array(np.full(k, x["c"])), pa.array((x["hi"] - start).astype(np.int32)), pa.array(one), pa.array(two)], names=["h", "c", "l1", "w1", "w2"])
+                    owners = [pa.array([x.get(name)] * k, pa.int64()) for name in ("least", "most")]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(k, x["h"])), pa.array(np.full(k, x["c"])), pa.array((x["hi"] - start).astype(np.int32)), pa.array(one), pa.array(two), *owners], names=["h", "c", "l1", "w1", "w2", "least", "most"])
 
-    rows = cut(texts.select("z", "wanted").mapInArrow(run, "h long, c long, l1 int, w1 long, w2 long"))
-    again = rows.groupBy("w1", "w2").count().where("count > 1").select("w1", "w2")
+    rows = cut(texts.select("z", "wanted").mapInArrow(run, "h long, c long, l1 int, w1 long, w2 long, least long, most long"))
+    repeated = F.min("least") < F.max("most") if spec.across else F.count("*") > 1
+    again = rows.groupBy("w1", "w2").agg(repeated.alias("again")).where("again").select("w1", "w2")
     return rows.join(again, ["w1", "w2"]).select("h", "c", "l1", F.col("l1").alias("l2"))
 
 
@@ -366,18 +380,20 @@ def repeated_spans(docs: DataFrame, spec: RepeatSpec = RepeatSpec()) -> DataFram
 
     long_enough = keyed.where(F.octet_length("text") >= spec.least).select("k1", "k2", "text")
     rows = cut(long_enough.mapInArrow(run, "k1 long, k2 long, pos int, lo int, hi int, h long, c long"))
-    contexts = rows.groupBy("h", "c").agg(F.count("*").alias("n"), F.min(F.struct("k1", "k2", "pos", "lo", "hi")).alias("at"))
+    owner = F.xxhash64("k1", "k2")
+    owners = {"least": F.min(owner).alias("least"), "most": F.max(owner).alias("most")} if spec.across else {}
+    contexts = rows.groupBy("h", "c").agg(F.count("*").alias("n"), F.min(F.struct("k1", "k2", "pos", "lo", "hi")).alias("at"), *owners.values())
     grams = contexts.groupBy("h").agg(F.sum("n").alias("all"), F.count("*").alias("kinds")).where("all > 1")
-    known = cut(contexts.join(grams, "h").select("h", "c", "n", "at", "kinds"))
+    known = cut(contexts.join(grams, "h").select("h", "c", "n", "at", "kinds", *owners))
 
     def wanted(which: Column) -> DataFrame:
-        one = F.struct("at.pos", "at.lo", "at.hi", "h", "c", (F.lit(spec.length) - F.col("at.lo")).alias("right"))
+        one = F.struct("at.pos", "at.lo", "at.hi", "h", "c", (F.lit(spec.length) - F.col("at.lo")).alias("right"), *owners)
         asked = cut(known.where(which).groupBy("at.k1", "at.k2").agg(F.collect_list(one).alias("wanted")))
         # rows that repeat have one key; any of them will do
         return _pressed(keyed, bitmap(asked, "k1", "k2"), spec).join(asked, ["k1", "k2"])
 
     several = known.where("kinds > 1").agg(F.count("*"), F.coalesce(F.max("kinds"), F.lit(0))).first()
-    whole = known.where("n > 1").select("h", "c", F.col("at.lo").alias("l1"), F.col("at.hi").alias("l2"))
+    whole = known.where("least < most" if spec.across else "n > 1").select("h", "c", F.col("at.lo").alias("l1"), F.col("at.hi").alias("l2"))
     parts = [whole]
     if several[0]:
         parts.append(merged_windows(wanted((F.col("kinds") > 1) & (F.col("kinds") <= spec.hot)), several[0], spec))
